@@ -1,0 +1,79 @@
+"""The three jobs: build the feature table, train, and score with metrics."""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
+
+from perindex.metrics.threshold import metric_set
+from perindex.ml import model as M
+from perindex.ml.split import SEED, assign_split
+from perindex.operators.index_range import index_range
+from perindex.plans.feature_table import feature_table
+from perindex.registry import PRODUCTION, Registry
+from perindex.sources import schemas
+from perindex.sources.readers import empty_frame, path_exists, read_features, read_omop, read_table
+from perindex.sources.writers import write_features, write_predictions
+
+
+def load_inputs(
+    spark: SparkSession, folder: str, concept_sets: str, fmt: str = "parquet"
+) -> dict[str, DataFrame]:
+    """The event tables, visits, cohort and concept sets of one data folder."""
+    tables = read_omop(spark, folder, fmt)
+    for name in ("visits", "cohort"):
+        path = f"{folder}/{name}.{fmt}"
+        tables[name] = (
+            read_table(spark, path, schemas.TABLES[name], fmt)
+            if path_exists(spark, path)
+            else empty_frame(spark, schemas.TABLES[name])
+        )
+    tables["concept_set_members"] = read_table(
+        spark, concept_sets, schemas.CONCEPT_SET_MEMBERS, fmt
+    )
+    return tables
+
+
+def featurize(
+    tables: dict[str, DataFrame],
+    output: str,
+    registry: Registry = PRODUCTION,
+    test_share: float | None = None,
+    seed: int = SEED,
+    los_max: int | None = None,
+) -> DataFrame:
+    """Write the index range and the feature table, and return the latter.
+
+    Both splits come from one evaluation of the plan.
+    """
+    spark = tables["person"].sparkSession
+    index_path = f"{output}/index_range"
+    index_range(tables["cohort"], tables["visits"]).write.mode("overwrite").parquet(index_path)
+    index = spark.read.schema(schemas.INDEX_RANGE).parquet(index_path)
+    features = feature_table(tables, registry, index, los_max)
+    write_features(assign_split(features, test_share, seed), f"{output}/features")
+    return read_features(spark, f"{output}/features")
+
+
+def train(features: DataFrame, model_path: str, rounds: int = M.ROUNDS, seed: int = SEED) -> PipelineModel:
+    model = M.fit(features, M.boosted_trees(rounds, seed))
+    M.save(model, model_path)
+    return model
+
+
+def infer(
+    datasets: dict[str, DataFrame], model_path: str, output: str, threshold: float = 0.5
+) -> DataFrame:
+    """Score the datasets, write the predictions, and return the metric set of each."""
+    scored = M.score_datasets(M.load(model_path), datasets)
+    write_predictions(scored, output)
+    return metric_set(scored, threshold)
+
+
+def shape(df: DataFrame) -> DataFrame:
+    """Row and column count of a table, as a row."""
+    from pyspark.sql import functions as F
+
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
+        "n_columns", F.lit(len(df.columns))
+    )
