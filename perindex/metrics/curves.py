@@ -52,7 +52,8 @@ def steps(scores: DataFrame, by: tuple[str, ...] = (), buckets: int = BUCKETS) -
     totals = rows.groupBy(*by, "bucket").agg(
         F.sum("pos").alias("bucket_pos"),
         F.sum("neg").alias("bucket_neg"),
-        F.max_by(F.struct("pos", "neg"), SCORE).alias("top"),
+        F.max_by("pos", SCORE).alias("top_pos"),
+        F.max_by("neg", SCORE).alias("top_neg"),
     )
     # At most one row per group and bucket, so these windows are short.
     group = Window.partitionBy(*by)
@@ -65,13 +66,13 @@ def steps(scores: DataFrame, by: tuple[str, ...] = (), buckets: int = BUCKETS) -
         F.coalesce(F.sum("bucket_neg").over(above), F.lit(0)).alias("neg_above"),
         F.sum("bucket_pos").over(group).alias("positives"),
         F.sum("bucket_neg").over(group).alias("negatives"),
-        F.lead("top").over(down).alias("next_top"),
+        F.lead("top_pos").over(down).alias("next_top_pos"),
+        F.lead("top_neg").over(down).alias("next_top_neg"),
     )
     if not by:
         offsets = F.broadcast(offsets)
     within = Window.partitionBy(*by, "bucket").orderBy(F.desc(SCORE))
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
-    following = F.coalesce(F.lead(F.struct("pos", "neg")).over(within), F.col("next_top"))
     joined = rows.join(offsets, [*by, "bucket"])
     return joined.select(
         *by,
@@ -82,9 +83,8 @@ def steps(scores: DataFrame, by: tuple[str, ...] = (), buckets: int = BUCKETS) -
         (F.col("neg_above") + F.sum("neg").over(upto)).alias("fp"),
         "positives",
         "negatives",
-        following.alias("following"),
-    ).select("*", F.col("following.pos").alias("next_pos"), F.col("following.neg").alias("next_neg")).drop(
-        "following"
+        F.coalesce(F.lead("pos").over(within), F.col("next_top_pos")).alias("next_pos"),
+        F.coalesce(F.lead("neg").over(within), F.col("next_top_neg")).alias("next_neg"),
     )
 
 

@@ -115,6 +115,21 @@ def panel_by_day(standard: DataFrame, panel: str, features: list[str]) -> DataFr
     return rows.groupBy("person_id", "event_date").agg(*cells)
 
 
+def merge_panels(htwt: DataFrame, cmp: DataFrame, cbc: DataFrame) -> DataFrame:
+    """Outer join of the three panels by person and day, keyed on the first.
+
+    Days without a height or weight keep one row per remaining panel. Written as
+    left joins plus the unmatched days of each panel: a chain of full outer joins
+    would send all those days, whose first key is null, to a single task.
+    """
+    keys = ["person_id", "event_date"]
+    matched = htwt.join(cmp, keys, "left").join(cbc, keys, "left")
+    for panel in (cmp, cbc):
+        alone = panel.join(htwt.select(*keys), keys, "left_anti")
+        matched = matched.unionByName(alone, allowMissingColumns=True)
+    return matched
+
+
 def immunoassay_by_day(standard: DataFrame) -> DataFrame:
     """Immunoassay values, one row per person and day. Units play no part."""
     rows = standard.where(F.col("panel") == "immuno")

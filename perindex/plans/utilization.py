@@ -192,3 +192,12 @@ def utilization(
     return fill_utilization(
         with_icu.withColumn("avg_icu_los", icu_average).select("person_id", *R.UTILIZATION_COLUMNS)
     )
+
+
+def last_visit_name(index: DataFrame, visits: DataFrame) -> DataFrame:
+    """Per person of the index range, the visit name that sorts last; null without any.
+
+    The names are folded before the join, so persons bring at most one row each.
+    """
+    last = visits.groupBy("person_id").agg(F.max("visit_concept_name").alias("visit_concept_name"))
+    return index.select("person_id").join(last, "person_id", "left")

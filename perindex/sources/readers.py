@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, IntegerType, LongType, StructType
 
+from perindex.registry import DOUBLE_COLUMNS
 from perindex.sources import schemas
 
 
@@ -83,10 +84,8 @@ def read_index_range(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
 
 def empty_features(spark: SparkSession, columns: list[str]) -> DataFrame:
     """A feature family without rows: ``person_id`` and typed feature columns."""
-    from perindex.registry import DOUBLE_COLUMNS
-
-    ddl = ", ".join(f"`{c}` {'double' if c in DOUBLE_COLUMNS else 'bigint'}" for c in columns)
-    return empty_frame(spark, StructType.fromDDL(f"person_id bigint, {ddl}"))
+    ddl = ", ".join(f"{c} {'double' if c in DOUBLE_COLUMNS else 'bigint'}" for c in columns)
+    return empty_frame(spark, schemas.table_schema(f"person_id bigint, {ddl}"))
 
 
 def read_features(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:

@@ -153,11 +153,19 @@ class ClinicalViews:
 
     @cached_property
     def blinded_cohort(self) -> DataFrame:
-        """Customers' orders stand in for a second cohort file without outcomes."""
-        return self._table("customer").selectExpr(
-            "c_custkey + 1000000000 as person_id",
-            "date_add(date '1997-01-01', cast(c_custkey * 11 % 900 as int)) as covid_index",
-        )
+        """A second cohort, of other persons, whose outcomes are withheld."""
+        return self.cohort.select((F.col("person_id") + 1_000_000_000).alias("person_id"), "covid_index")
+
+    def _second_feed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("person_id", F.col("person_id") + 1_000_000_000)
+
+    @cached_property
+    def blinded_visits(self) -> DataFrame:
+        return self._second_feed(self.visits)
+
+    @cached_property
+    def blinded_conditions(self) -> DataFrame:
+        return self._second_feed(self.condition_occurrence)
 
     def _lines(self) -> DataFrame:
         owners = self._table("orders").select("o_orderkey", "o_custkey")
