@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from perindex.functions.columns import literal_map
+from perindex.functions.columns import map_sql
 
 # Standard concept ids.
 GENDERS = {8532: "FEMALE", 8507: "MALE"}
@@ -20,19 +20,17 @@ RACES = {
 }
 
 
-def label(column: Column | str, labels: dict[int, str]) -> Column:
+# What the name of a visit of each type contains.
+VISIT_WORDS = {"ed": "Emergency", "ip": "Inpatient", "tele": "Tele"}
+
+
+def label(column: str, labels: dict[int, str]) -> Column:
     """Name of a code, or the empty string for any other code."""
-    code = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(literal_map(code.cast("bigint"), labels), F.lit(""))
+    return F.expr(f"coalesce({map_sql(column, labels)}, '')")
 
 
-def visit_types(name: Column | str) -> dict[str, Column]:
+def visit_types(name: str) -> dict[str, Column]:
     """0/1 flags of a visit name. A visit without a name has no type at all."""
-    text = F.col(name) if isinstance(name, str) else name
-    known = {
-        "is_ed": text.contains("Emergency"),
-        "is_ip": text.contains("Inpatient"),
-        "is_tele": text.contains("Tele"),
-    }
-    other = ~known["is_ed"] & ~known["is_ip"] & ~known["is_tele"]
-    return {n: F.when(c, 1).otherwise(0) for n, c in (known | {"is_op": other}).items()}
+    tests = {f"is_{t}": f"contains({name}, '{word}')" for t, word in VISIT_WORDS.items()}
+    tests["is_op"] = "not (" + " or ".join(tests.values()) + ")"
+    return {flag: F.expr(f"if({test}, 1, 0)") for flag, test in tests.items()}

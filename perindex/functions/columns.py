@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,10 +33,23 @@ def drop_matching(df: DataFrame, pattern: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if re.fullmatch(pattern, c)])
 
 
-def literal_map(column: Column, mapping: dict) -> Column:
-    """Look ``column`` up in a small constant mapping; a missing key gives null."""
-    pairs = [F.lit(x) for item in mapping.items() for x in item]
-    return F.create_map(*pairs)[column] if pairs else F.lit(None)
+def sql_literal(value: object) -> str:
+    """A number or a string as a SQL literal."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+def sql_list(values) -> str:
+    return ", ".join(sql_literal(v) for v in values)
+
+
+def map_sql(column: str, mapping: dict) -> str:
+    """SQL that looks ``column`` up in a small constant mapping; a missing key gives null."""
+    if not mapping:
+        return "cast(null as string)"
+    pairs = ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in mapping.items())
+    return f"map({pairs})[{column}]"
 
 
 def replace_values(df: DataFrame, column: str, mapping: dict[str, str], keep_unmapped: bool = True) -> DataFrame:

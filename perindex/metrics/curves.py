@@ -7,12 +7,16 @@ and the running total inside a bucket starts there.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCORE, LABEL = "predict_prob", "true_label"
-BUCKETS = 512
+# Scores that one task may put in order. Fewer rows than this need no buckets.
+ROWS_PER_BUCKET = 100_000
+MAX_BUCKETS = 4096
 
 
 def labelled(scores: DataFrame) -> DataFrame:
@@ -28,26 +32,54 @@ def by_score(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def _splits(scores: DataFrame, buckets: int) -> list[float]:
-    """Bucket edges: at most ``buckets`` approximate quantiles of the scores."""
-    probabilities = [i / buckets for i in range(1, buckets)]
-    row = labelled(scores).agg(
-        F.percentile_approx(SCORE, probabilities, buckets * 4).alias("edges")
-    ).first()
-    edges = sorted(set(row["edges"] or [0.5]))
-    return [float("-inf"), *edges, float("inf")]
+def bucket_edges(scores: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
+    """Quantiles that cut the scores into buckets of about ``rows_per_bucket`` rows.
+
+    Only these numbers, at most ``MAX_BUCKETS``, reach the driver. They decide
+    the size of the tasks and never the result.
+    """
+    known = labelled(scores)
+    buckets = min(MAX_BUCKETS, math.ceil(known.count() / rows_per_bucket))
+    if buckets < 2:
+        return []
+    shares = [i / buckets for i in range(1, buckets)]
+    row = known.agg(F.percentile_approx(SCORE, shares, buckets * 4).alias("edges")).first()
+    return sorted(set(row["edges"]))
+
+
+def _running(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``steps`` for few scores: one ordered pass per group."""
+    group = Window.partitionBy(*by)
+    down = group.orderBy(F.desc(SCORE))
+    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(
+        *by,
+        SCORE,
+        "pos",
+        "neg",
+        F.sum("pos").over(upto).alias("tp"),
+        F.sum("neg").over(upto).alias("fp"),
+        F.sum("pos").over(group).alias("positives"),
+        F.sum("neg").over(group).alias("negatives"),
+        F.lead("pos").over(down).alias("next_pos"),
+        F.lead("neg").over(down).alias("next_neg"),
+    )
 
 
-def steps(scores: DataFrame, by: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
+def steps(
+    scores: DataFrame, by: tuple[str, ...] = (), rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """Distinct scores with cumulative counts from the highest score down.
 
     ``tp`` and ``fp`` count the rows scored at least as high; ``positives`` and
     ``negatives`` are the totals of the group. ``next_pos`` and ``next_neg`` are
     the counts of the next lower score.
     """
-    bucketizer = Bucketizer(
-        splits=_splits(scores, buckets), inputCol=SCORE, outputCol="bucket", handleInvalid="keep"
-    )
+    edges = bucket_edges(scores, rows_per_bucket)
+    if not edges:
+        return _running(by_score(scores, by), by)
+    splits = [float("-inf"), *edges, float("inf")]
+    bucketizer = Bucketizer(splits=splits, inputCol=SCORE, outputCol="bucket")
     rows = bucketizer.transform(by_score(scores, by))
     totals = rows.groupBy(*by, "bucket").agg(
         F.sum("pos").alias("bucket_pos"),
@@ -94,10 +126,10 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 
 def precision_recall_curve(
-    scores: DataFrame, by: tuple[str, ...] = (), buckets: int = BUCKETS
+    scores: DataFrame, by: tuple[str, ...] = (), rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Precision and recall at every distinct score, and the end point (1, 0)."""
-    points = steps(scores, by, buckets).select(
+    points = steps(scores, by, rows_per_bucket).select(
         *by,
         F.col(SCORE).alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
@@ -114,7 +146,7 @@ def roc_curve(
     scores: DataFrame,
     by: tuple[str, ...] = (),
     drop_intermediate: bool = True,
-    buckets: int = BUCKETS,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """False and true positive rates by threshold, and the start point (0, 0).
 
@@ -122,7 +154,7 @@ def roc_curve(
     and of the next lower one are equal: it lies on a straight stretch of the
     curve. The first and the last point always stay.
     """
-    points = steps(scores, by, buckets)
+    points = steps(scores, by, rows_per_bucket)
     if drop_intermediate:
         first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
         last = F.col("next_pos").isNull()
@@ -153,15 +185,15 @@ def average_precision_of() -> Column:
     return ratio(gain, F.max("positives"))
 
 
-def auroc(scores: DataFrame, by: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
-    return steps(scores, by, buckets).groupBy(*by).agg(area_under_roc().alias("area_under_roc"))
+def auroc(scores: DataFrame, by: tuple[str, ...] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    return steps(scores, by, rows_per_bucket).groupBy(*by).agg(area_under_roc().alias("area_under_roc"))
 
 
 def average_precision(
-    scores: DataFrame, by: tuple[str, ...] = (), buckets: int = BUCKETS
+    scores: DataFrame, by: tuple[str, ...] = (), rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     return (
-        steps(scores, by, buckets)
+        steps(scores, by, rows_per_bucket)
         .groupBy(*by)
         .agg(average_precision_of().alias("average_precision"))
     )

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perindex.metrics.curves import (
-    BUCKETS,
     LABEL,
+    ROWS_PER_BUCKET,
     SCORE,
     area_under_roc,
     average_precision_of,
@@ -131,7 +131,7 @@ def score_histogram(scores: DataFrame, bins: int = BINS) -> DataFrame:
 
 def metric_set(
     scores: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ("dataset",),
-    buckets: int = BUCKETS,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Every scalar metric, one row per group, from one pass over the distinct scores."""
     score, pos, neg = F.col(SCORE), F.col("pos"), F.col("neg")
@@ -146,4 +146,4 @@ def metric_set(
         "brier_score": error / F.sum(pos + neg),
         "n": F.sum(pos + neg),
     }
-    return steps(scores, by, buckets).groupBy(*by).agg(*[c.alias(n) for n, c in values.items()])
+    return steps(scores, by, rows_per_bucket).groupBy(*by).agg(*[c.alias(n) for n, c in values.items()])

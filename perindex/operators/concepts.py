@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perindex.functions.columns import literal_map
+from perindex.functions.columns import map_sql, sql_list
 from perindex.registry import CodeGroup, Registry
 from perindex.operators.lookup import is_small
 
 
 def feature_of(group: CodeGroup) -> Column:
     """Feature of a concept-set row: by set name where listed, else by code set."""
-    by_code = literal_map(F.col("codeset_id"), {k: v for k, v in group.features.items() if v})
-    if not group.set_names:
-        return by_code
-    return F.coalesce(literal_map(F.col("concept_set_name"), group.set_names), by_code)
+    by_code = map_sql("codeset_id", {k: v for k, v in group.features.items() if v})
+    by_name = map_sql("concept_set_name", group.set_names)
+    return F.expr(f"coalesce({by_name}, {by_code})" if group.set_names else by_code)
 
 
 def members_of(concept_sets: DataFrame, codesets: list[int]) -> DataFrame:
     """The members of some code sets; the filter reaches the scan."""
-    return concept_sets.where(F.col("codeset_id").isin(codesets))
+    return concept_sets.where(f"codeset_id in ({sql_list(codesets)})")
 
 
 def tag_concepts(concept_sets: DataFrame, group: CodeGroup) -> DataFrame:
@@ -36,8 +35,8 @@ def tag_concepts(concept_sets: DataFrame, group: CodeGroup) -> DataFrame:
             "codeset_id", "concept_id", "concept_set_name", "concept_name",
             feature_of(group).alias("feature"),
         )
-        .withColumn("temporality", literal_map(F.col("feature"), periods).cast("string"))
-        .withColumn("preferred_unit", literal_map(F.col("feature"), group.units).cast("string"))
+        .withColumn("temporality", F.expr(map_sql("feature", periods)))
+        .withColumn("preferred_unit", F.expr(map_sql("feature", group.units)))
         .distinct()
     )
 
@@ -53,9 +52,8 @@ def concept_lookup(concept_sets: DataFrame, group: CodeGroup, distinct: bool = F
         members = members.select(
             "codeset_id", "concept_id", "concept_set_name", "concept_name"
         ).distinct()
-    return members.select("concept_id", feature_of(group).alias("feature")).where(
-        F.col("feature").isNotNull()
-    )
+    named = members.select("concept_id", feature_of(group).alias("feature"))
+    return named.where("feature is not null") if group.set_names else named
 
 
 def all_small(concept_sets: DataFrame, registry: Registry) -> bool:

@@ -9,9 +9,10 @@ person, and no person has more of those than calendar days times features.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perindex.functions.columns import sql_list, sql_literal
 from perindex.functions.periods import period_of
 from perindex.operators.index_range import index_interval
 
@@ -39,27 +40,30 @@ def with_period(
     return joined.withColumn("period", period).drop("index_start_date", "index_end_date")
 
 
-def allowed(periods: dict[str, tuple[str, ...]]) -> Column:
-    """True where a row's period is one of those its feature counts in."""
+def allowed(periods: dict[str, tuple[str, ...]]) -> str:
+    """SQL test that a row's period is one of those its feature counts in."""
     by_periods: dict[tuple[str, ...], list[str]] = {}
     for feature, listed in periods.items():
         by_periods.setdefault(listed, []).append(feature)
-    test = F.lit(False)
-    for listed, features in by_periods.items():
-        test = test | (F.col("feature").isin(features) & F.col("period").isin(list(listed)))
-    return test
+    return " or ".join(
+        f"(feature in ({sql_list(features)}) and period in ({sql_list(listed)}))"
+        for listed, features in by_periods.items()
+    )
 
 
-def wide(rows: DataFrame, keys: list[str], slots: dict[str, Column], value: Column) -> DataFrame:
-    """One row per key and one sum per slot; a slot without rows is null.
+def wide(rows: DataFrame, keys: list[str], slots: dict[str, str], value: str) -> DataFrame:
+    """One row per key and one sum of ``value`` per slot, 0 for a slot without rows.
 
     The explicit slots make this a single aggregation: no job is needed to find
     the pivot values and no join to bring the periods together.
     """
     return rows.groupBy(*keys).agg(
-        *[F.sum(F.when(test, value)).alias(name) for name, test in slots.items()]
+        *[
+            F.expr(f"coalesce(sum({value}) filter (where {test}), 0)").alias(name)
+            for name, test in slots.items()
+        ]
     )
 
 
-def cell(feature: str, period: str) -> Column:
-    return (F.col("feature") == feature) & (F.col("period") == period)
+def cell(feature: str, period: str) -> str:
+    return f"feature = {sql_literal(feature)} and period = {sql_literal(period)}"

@@ -33,5 +33,5 @@ def diagnosis_counts(
     """
     events = diagnosis_events(conditions, concept_sets, group, small)
     return events.groupBy("person_id").agg(
-        *[F.count(F.when(F.col("feature") == name, 1)).alias(name) for name in group.names]
+        *[F.expr(f"count_if(feature = '{name}')").alias(name) for name in group.names]
     )

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perindex import registry as R
+from perindex.functions.columns import sql_list
 from perindex.functions.periods import period_of, period_or_during
 from perindex.operators.concepts import all_small
 from perindex.operators.events import allowed, daily
 from perindex.operators.index_range import index_interval, index_range
-from perindex.plans import diagnoses, labs, medications, procedures, smoking, utilization, vitals
+from perindex.plans import diagnoses, labs, medications, procedures, smoking, utilization
 from perindex.plans.demographics import demographics
+from perindex.plans.measurements import measurement_points
 from perindex.registry import Registry
 from perindex.session import materialize
 
@@ -48,14 +50,11 @@ def event_features(
     concepts = tables["concept_set_members"]
     if small is None:
         small = all_small(concepts, registry)
-    measured = tables["measurement"]
-    standard = labs.standardise(labs.curate(measured, concepts, registry.labs, small))
     smokers = smoking.smoking_status(
         tables["observation"], concepts, registry.smoking, small
     ).withColumn("feature", F.lit("smoker"))
     points = [
-        vitals.vital_points(measured, concepts, registry.vitals, small),
-        labs.lab_points(standard),
+        measurement_points(tables["measurement"], concepts, registry, small),
         medications.medication_points(
             tables["drug_exposure"], concepts, registry.medications, small
         ),
@@ -73,59 +72,62 @@ def event_features(
     return _pivot(days, index, registry)
 
 
+def _family(registry: Registry) -> Column:
+    """Family of a feature; names are unique across families."""
+    listed = {
+        "lab": R.LAB_FEATURES,
+        "vital": registry.vitals.names,
+        "procedure": registry.procedures.names,
+        "medication": registry.medications.names,
+    }
+    tests = " ".join(f"when feature in ({sql_list(v)}) then '{k}'" for k, v in listed.items())
+    return F.expr(f"case {tests} else 'ever' end")
+
+
 def _pivot(days: DataFrame, index: DataFrame, registry: Registry) -> DataFrame:
-    feature = F.col("feature")
-    is_lab = feature.isin(R.LAB_FEATURES)
-    is_vital = feature.isin(registry.vitals.names)
-    is_procedure = feature.isin(registry.procedures.names)
-    is_medication = feature.isin(registry.medications.names)
     interval = ("event_date", "index_start_date", "index_end_date")
-    # A person's smoking status and diagnoses count over the whole record.
+    # Smoking status and diagnoses count over the whole record.
     period = (
-        F.when(is_lab, period_or_during(*interval))
-        .when(is_vital | is_procedure | is_medication, period_of(*interval))
-        .otherwise("ever")
+        F.when(F.col("family") == "lab", period_or_during(*interval))
+        .when(F.col("family") == "ever", "ever")
+        .otherwise(period_of(*interval))
     )
     rows = (
-        days.join(index_interval(index), "person_id", "left")
+        days.withColumn("family", _family(registry))
+        .join(index_interval(index), "person_id", "left")
         .withColumn("period", period)
-        .where(
-            F.col("period").isNotNull() & (~is_medication | allowed(registry.medications.periods))
+        .where(f"period is not null and (family <> 'medication' or {allowed(registry.medications.periods)})")
+        .selectExpr(
+            "person_id",
+            f"""case family when 'lab' then {labs.SLOT}
+                when 'procedure' then concat(period, '_', feature)
+                when 'ever' then feature
+                else concat(feature, '_', period) end as slot""",
+            "cast(case family when 'lab' then low when 'vital' then total else n end as double) as amount",
+            "case when family = 'lab' and low is not null then 1 when family = 'vital' then n end as weight",
         )
     )
-    slot = (
-        F.when(is_lab, labs.slot(F.col("period"), feature))
-        .when(is_procedure, F.concat_ws("_", "period", "feature"))
-        .when(is_vital | is_medication, F.concat_ws("_", "feature", "period"))
-        .otherwise(feature)
-    )
-    amount = F.when(is_lab, F.col("low")).when(is_vital, F.col("total")).otherwise(F.col("n"))
-    weight = F.when(is_lab & F.col("low").isNotNull(), 1).when(is_vital, F.col("n"))
     # Counts have no weight and stay sums; the others become weighted averages.
-    value = F.sum("amount") / F.coalesce(F.sum("weight"), F.lit(1))
-    slotted = rows.select(
-        "person_id", slot.alias("slot"), amount.cast("double").alias("amount"), weight.alias("weight")
-    )
-    return slotted.groupBy("person_id").pivot("slot", EVENT_COLUMNS).agg(value)
+    value = F.expr("sum(amount) / coalesce(sum(weight), 1)")
+    return rows.groupBy("person_id").pivot("slot", EVENT_COLUMNS).agg(value)
 
 
 def impute(df: DataFrame) -> DataFrame:
     """Fill missing counts with 0 and missing vitals, labs and smoking with -1."""
-    return df.na.fill(0, R.ZERO_FILLED).na.fill(-1, R.MINUS_ONE_FILLED)
+    return df.na.fill(dict.fromkeys(R.ZERO_FILLED, 0) | dict.fromkeys(R.MINUS_ONE_FILLED, -1))
 
 
 def assemble(person: DataFrame, families: list[DataFrame], index: DataFrame) -> DataFrame:
     """Left-join the families to the persons, add the label, keep the contract's columns."""
     label = index.select("person_id", R.LABEL)
     joined = reduce(lambda left, right: left.join(right, "person_id", "left"), [*families, label], person)
-    absent = [c for c in R.FEATURE_COLUMNS if c not in joined.columns]
+    present = set(joined.columns)
     typed = [
-        (F.lit(None) if c in absent else F.col(c))
-        .cast("double" if c in R.DOUBLE_COLUMNS else "bigint")
-        .alias(c)
+        f"cast({c if c in present else 'null'} as "
+        f"{'double' if c in R.DOUBLE_COLUMNS else 'bigint'}) as {c}"
         for c in R.FEATURE_COLUMNS
     ]
-    return joined.select("person_id", *typed, F.col(R.LABEL))
+    return joined.selectExpr("person_id", *typed, R.LABEL)
 
 
 def feature_table(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perindex import registry as R
+from perindex.functions.columns import sql_list
 from perindex.functions.periods import period_or_during
 from perindex.operators.concepts import concept_lookup
 from perindex.operators.events import daily, with_period
@@ -44,22 +45,33 @@ def unit_table(spark: SparkSession) -> DataFrame:
     )
 
 
-def standardise(curated: DataFrame, as_written: bool = False) -> DataFrame:
+def standardise(
+    curated: DataFrame, as_written: bool = False, own_features: tuple[str, ...] = ()
+) -> DataFrame:
     """Feature name, and the value and unit after the unit rules.
 
     Both tables are literals of the driver, so their broadcast is bounded. Names
     without an entry are dropped. A value whose unit is not accepted is null.
+    Panels in ``own_features`` are features already and need no name.
     """
     spark = curated.sparkSession
-    named = curated.join(
-        F.broadcast(name_table(spark, as_written)), ["panel", "measurement_concept_name"]
-    )
+    names = F.broadcast(name_table(spark, as_written))
+    on = ["panel", "measurement_concept_name"]
+    if own_features:
+        own = f"if(panel in ({sql_list(own_features)}), panel, feature)"
+        named = (
+            curated.join(names, on, "left")
+            .withColumn("feature", F.expr(own))
+            .where("feature is not null")
+        )
+    else:
+        named = curated.join(names, on)
     rules = F.broadcast(unit_table(spark))
     matches = (F.col("feature") == F.col("rule_feature")) & F.col("unit_concept_name").eqNullSafe(
         F.col("rule_unit")
     )
     known = F.col("rule_feature").isNotNull()
-    strict = F.col("feature").isin(R.STRICT_FEATURES)
+    strict = F.expr(f"feature in ({sql_list(R.STRICT_FEATURES)})")
     raw = F.col("value_as_number")
     value = F.when(known, raw * F.col("factor")).when(~strict, raw)
     unit = F.when(known, F.col("to_unit")).otherwise(F.col("unit_concept_name"))
@@ -109,9 +121,9 @@ def panel_by_day(standard: DataFrame, panel: str, features: list[str]) -> DataFr
     rows = pick(standard.where(F.col("panel") == panel))
     cells = []
     for feature in features:
-        here = F.col("feature") == feature
-        cells.append(F.max(F.when(here, F.col("value"))).alias(f"{feature}_value"))
-        cells.append(F.max(F.when(here, F.col("unit"))).alias(f"{feature}_unit"))
+        here = f"filter (where feature = '{feature}')"
+        cells.append(F.expr(f"max(value) {here}").alias(f"{feature}_value"))
+        cells.append(F.expr(f"max(unit) {here}").alias(f"{feature}_unit"))
     return rows.groupBy("person_id", "event_date").agg(*cells)
 
 
@@ -135,7 +147,7 @@ def immunoassay_by_day(standard: DataFrame) -> DataFrame:
     rows = standard.where(F.col("panel") == "immuno")
     return rows.groupBy("person_id", "event_date").agg(
         *[
-            F.min(F.when(F.col("feature") == f, F.col("value"))).alias(f)
+            F.expr(f"min(value) filter (where feature = '{f}')").alias(f)
             for f in R.IMMUNO_FEATURES
         ]
     )
@@ -146,7 +158,7 @@ def lab_points(standard: DataFrame) -> DataFrame:
 
     The daily minimum of these is what ``pick`` chooses, as a plain number.
     """
-    return standard.where(F.col("feature").isin(R.LAB_FEATURES)).select(
+    return standard.where(f"feature in ({sql_list(R.LAB_FEATURES)})").select(
         "person_id", "event_date", "feature", "value"
     )
 
@@ -163,8 +175,7 @@ def lab_means(standard: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
-def slot(prefix: Column, feature: Column) -> Column:
-    return F.concat_ws("_", prefix, feature, F.lit("value"))
+SLOT = "concat(period, '_', feature, '_value')"
 
 
 def labs(standard: DataFrame, index: DataFrame) -> DataFrame:
@@ -173,5 +184,5 @@ def labs(standard: DataFrame, index: DataFrame) -> DataFrame:
     180 conditional averages would cost 180 tests per row and lose code
     generation; the pivot with listed slots finds each row's cell by hashing.
     """
-    rows = _days(standard, index).withColumn("slot", slot(F.col("period"), F.col("feature")))
+    rows = _days(standard, index).withColumn("slot", F.expr(SLOT))
     return rows.groupBy("person_id").pivot("slot", R.LAB_COLUMNS).agg(F.avg("low"))

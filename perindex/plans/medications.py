@@ -59,4 +59,4 @@ def medications(
     """Wide form: ``<medication>_<period>`` counts, 0 where there were none."""
     slots = {f"{f}_{p}": cell(f, p) for f, periods in group.periods.items() for p in periods}
     days = _days(drug_exposure, concept_sets, index, group, small)
-    return wide(days, ["person_id"], slots, F.col("n")).na.fill(0)
+    return wide(days, ["person_id"], slots, "n")

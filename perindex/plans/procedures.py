@@ -46,8 +46,8 @@ def procedure_counts(
 ) -> DataFrame:
     """One row per person and period, one count per procedure."""
     days = _days(procedures, concept_sets, index, group, small)
-    slots = {f: F.col("feature") == f for f in group.names}
-    return wide(days, ["person_id", "period"], slots, F.col("n")).na.fill(0)
+    slots = {f: f"feature = '{f}'" for f in group.names}
+    return wide(days, ["person_id", "period"], slots, "n")
 
 
 def procedures_wide(
@@ -60,4 +60,4 @@ def procedures_wide(
     """Wide form: ``<period>_<procedure>`` counts, 0 where there were none."""
     days = _days(procedures, concept_sets, index, group, small)
     slots = {f"{p}_{f}": cell(f, p) for p in PERIODS for f in group.names}
-    return wide(days, ["person_id"], slots, F.col("n")).na.fill(0)
+    return wide(days, ["person_id"], slots, "n")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perindex import registry as R
-from perindex.functions.codes import visit_types
+from perindex.functions.codes import VISIT_WORDS, visit_types
 from perindex.functions.periods import visit_in_period
 from perindex.operators.concepts import concept_lookup
 from perindex.operators.index_range import index_interval
@@ -104,15 +104,14 @@ def los_stats(staged: DataFrame, icu: DataFrame) -> DataFrame:
 
 def _patterns(staged: DataFrame) -> DataFrame:
     """Visits folded by person, dates and stay; counts and flags add up from here."""
-    name = F.col("visit_concept_name")
     return staged.groupBy(
         "person_id", "visit_start_date", "visit_end_date", "stay_start_date", "stay_end_date", "los"
     ).agg(
         F.count(F.lit(1)).alias("visits"),
         *[F.sum(f"is_{t}").alias(f"n_{t}") for t in TYPES],
         *[
-            F.max((~name.contains(word)).cast("int")).alias(f"not_{t}")
-            for t, word in (("ed", "Emergency"), ("ip", "Inpatient"), ("tele", "Tele"))
+            F.expr(f"bool_or(not contains(visit_concept_name, '{word}'))").alias(f"not_{t}")
+            for t, word in VISIT_WORDS.items()
         ],
     )
 
@@ -123,21 +122,25 @@ def _flags() -> list:
     ``is_index_op`` asks for a visit that is not an emergency, one that is not
     inpatient and one that is not remote; they need not be the same visit.
     """
-    other = (F.max("not_ed") == 1) & (F.max("not_ip") == 1) & (F.max("not_tele") == 1)
-    seen = [
-        F.when(F.sum(f"n_{t}") > 0, 1).otherwise(0).alias(f"is_index_{t}")
-        for t in ("ed", "ip", "tele")
-    ]
-    return [*seen, F.when(other, 1).otherwise(0).alias("is_index_op")]
+    tests = {t: f"sum(n_{t}) > 0" for t in VISIT_WORDS}
+    tests["op"] = " and ".join(f"bool_or(not_{t})" for t in VISIT_WORDS)
+    return [F.expr(f"if({test}, 1, 0)").alias(f"is_index_{t}") for t, test in tests.items()]
 
 
 def _counts(periods=PERIODS, types=TYPES) -> list:
+    return [
+        F.expr(f"sum(n_{t}) filter (where in_{p})").alias(f"{p}_{t}_cnt")
+        for p in periods
+        for t in types
+    ]
+
+
+def _with_periods(df: DataFrame) -> DataFrame:
+    """``in_before``, ``in_during`` and ``in_after`` of each visit pattern."""
     tests = visit_in_period(
         "visit_start_date", "visit_end_date", "index_start_date", "index_end_date"
     )
-    return [
-        F.sum(F.when(tests[p], F.col(f"n_{t}"))).alias(f"{p}_{t}_cnt") for p in periods for t in types
-    ]
+    return df.withColumns({f"in_{period}": test for period, test in tests.items()})
 
 
 def index_visit_flags(index: DataFrame, staged: DataFrame) -> DataFrame:
@@ -148,18 +151,15 @@ def index_visit_flags(index: DataFrame, staged: DataFrame) -> DataFrame:
 
 def visit_counts(index: DataFrame, staged: DataFrame) -> DataFrame:
     """Visits of each type per period; null where a period had no visit at all."""
-    joined = _patterns(staged).join(index_interval(index), "person_id")
-    tests = visit_in_period(
-        "visit_start_date", "visit_end_date", "index_start_date", "index_end_date"
-    )
-    counted = joined.where(tests["before"] | tests["during"] | tests["after"])
+    joined = _with_periods(_patterns(staged).join(index_interval(index), "person_id"))
+    counted = joined.where("in_before or in_during or in_after")
     return counted.groupBy("person_id").agg(*_counts())
 
 
 def fill_utilization(df: DataFrame) -> DataFrame:
     """0 for flags and counts, -1 for the lengths of stay."""
-    filled = df.na.fill(0, R.INDEX_FLAG_COLUMNS + R.VISIT_COUNT_COLUMNS)
-    return filled.na.fill(-1, R.LOS_COLUMNS)
+    fills = dict.fromkeys(R.INDEX_FLAG_COLUMNS + R.VISIT_COUNT_COLUMNS, 0)
+    return df.na.fill(fills | dict.fromkeys(R.LOS_COLUMNS, -1))
 
 
 def utilization(
@@ -172,12 +172,12 @@ def utilization(
     folds need no further shuffle.
     """
     staged = stays(visits, los_max)
-    joined = index_interval(index).join(_patterns(staged), "person_id", "left")
+    joined = _with_periods(index_interval(index).join(_patterns(staged), "person_id", "left"))
     per_stay = joined.groupBy("person_id", "stay_start_date", "stay_end_date", "los").agg(
         *_counts(types=("ed", "ip", "op")),
         F.sum("visits").alias("visits"),
-        *[F.sum(f"n_{t}").alias(f"n_{t}") for t in ("ed", "ip", "tele")],
-        *[F.max(f"not_{t}").alias(f"not_{t}") for t in ("ed", "ip", "tele")],
+        *[F.sum(f"n_{t}").alias(f"n_{t}") for t in VISIT_WORDS],
+        *[F.bool_or(f"not_{t}").alias(f"not_{t}") for t in VISIT_WORDS],
     )
     per_person = per_stay.groupBy("person_id").agg(
         *_flags(),

@@ -84,7 +84,7 @@ def vitals(
     averages = []
     for feature in group.names:
         for period in PERIODS:
-            test = cell(feature, period)
-            average = F.sum(F.when(test, F.col("total"))) / F.sum(F.when(test, F.col("n")))
-            averages.append(average.alias(f"{feature}_{period}"))
+            test = f"filter (where {cell(feature, period)})"
+            average = f"sum(total) {test} / sum(n) {test}"
+            averages.append(F.expr(average).alias(f"{feature}_{period}"))
     return rows.groupBy("person_id").agg(*averages)
