@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from perindex import registry as R
 from perindex.metrics.threshold import metric_set
+from perindex.session import materialize
 
 # The boosted-tree settings. The L1 and L2 penalties of other
 # boosting libraries have no counterpart in Spark ML.
@@ -121,7 +122,8 @@ def compare(
         score(fit(train, estimator, columns), test).withColumn("model", F.lit(name))
         for name, estimator in estimators.items()
     ]
-    return metric_set(reduce(DataFrame.unionByName, scored), threshold, by=("model",))
+    stored = materialize(reduce(DataFrame.unionByName, scored), "model_scores")
+    return metric_set(stored, threshold, by=("model",))
 
 
 def grid_search(

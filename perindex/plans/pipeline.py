@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from perindex.metrics.threshold import metric_set
 from perindex.ml import model as M
@@ -11,6 +12,7 @@ from perindex.ml.split import SEED, assign_split
 from perindex.operators.index_range import index_range
 from perindex.plans.feature_table import feature_table
 from perindex.registry import PRODUCTION, Registry
+from perindex.session import materialize
 from perindex.sources import schemas
 from perindex.sources.readers import empty_frame, path_exists, read_features, read_omop, read_table
 from perindex.sources.writers import write_features, write_predictions
@@ -64,16 +66,17 @@ def train(features: DataFrame, model_path: str, rounds: int = M.ROUNDS, seed: in
 def infer(
     datasets: dict[str, DataFrame], model_path: str, output: str, threshold: float = 0.5
 ) -> DataFrame:
-    """Score the datasets, write the predictions, and return the metric set of each."""
-    scored = M.score_datasets(M.load(model_path), datasets)
+    """Score the datasets, write the predictions, and return the metric set of each.
+
+    The scores are stored once; predictions and metrics both read them from there.
+    """
+    scored = materialize(M.score_datasets(M.load(model_path), datasets), "scores")
     write_predictions(scored, output)
     return metric_set(scored, threshold)
 
 
 def shape(df: DataFrame) -> DataFrame:
     """Row and column count of a table, as a row."""
-    from pyspark.sql import functions as F
-
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
         "n_columns", F.lit(len(df.columns))
     )
