@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
@@ -85,7 +86,7 @@ VIEW_NAMES = (
 )
 def omop_views(v):
     tables = {n: getattr(v, n) for n in VIEW_NAMES}
-    return ft.reduce(
+    return reduce(
         DataFrame.unionByName,
         [
             df.agg(
@@ -573,8 +574,7 @@ def index_visit_name_top1(v):
     + f", {D.rounded(R.LOS_COLUMNS)} from utilization"
 )
 def utilization(v):
-    index = materialize(index_of(v), "index_range")
-    return rounded(ut.utilization(index, v.visits, icu_of(v)), *R.LOS_COLUMNS)
+    return rounded(ut.utilization(index_of(v), v.visits, icu_of(v)), *R.LOS_COLUMNS)
 
 
 # Set operations and scalar functions.

@@ -125,21 +125,31 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom == 0, F.lit(0.0)).otherwise(top / bottom)
 
 
+# Marks the highest score of a group among its steps.
+HIGHEST = "(tp = pos and fp = neg)"
+
+
+def _points(
+    rows: DataFrame, by: tuple[str, ...], point: dict[str, Column], end: tuple[float, float]
+) -> DataFrame:
+    """One curve point per step, and the end point from the row of the highest score."""
+    own = F.struct(F.col(SCORE).alias("threshold"), *[c.alias(n) for n, c in point.items()])
+    ends = [F.lit(value).alias(name) for name, value in zip(point, end)]
+    extra = F.struct(F.lit(None).cast("double").alias("threshold"), *ends)
+    return rows.select(
+        *by, F.inline(F.when(F.expr(HIGHEST), F.array(own, extra)).otherwise(F.array(own)))
+    )
+
+
 def precision_recall_curve(
     scores: DataFrame, by: tuple[str, ...] = (), rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Precision and recall at every distinct score, and the end point (1, 0)."""
-    points = steps(scores, by, rows_per_bucket).select(
-        *by,
-        F.col(SCORE).alias("threshold"),
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        F.when(F.col("positives") == 0, 1.0)
-        .otherwise(F.col("tp") / F.col("positives"))
-        .alias("recall"),
-    )
-    end = labelled(scores).select(*by, F.lit(None).cast("double").alias("threshold"),
-                                  F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    return points.unionByName(end.distinct())
+    point = {
+        "precision": F.col("tp") / (F.col("tp") + F.col("fp")),
+        "recall": F.when(F.col("positives") == 0, 1.0).otherwise(F.col("tp") / F.col("positives")),
+    }
+    return _points(steps(scores, by, rows_per_bucket), by, point, (1.0, 0.0))
 
 
 def roc_curve(
@@ -154,21 +164,15 @@ def roc_curve(
     and of the next lower one are equal: it lies on a straight stretch of the
     curve. The first and the last point always stay.
     """
-    points = steps(scores, by, rows_per_bucket)
+    rows = steps(scores, by, rows_per_bucket)
     if drop_intermediate:
-        first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
-        last = F.col("next_pos").isNull()
-        bends = (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
-        points = points.where(first | last | bends)
-    curve = points.select(
-        *by,
-        F.col(SCORE).alias("threshold"),
-        (F.col("fp") / F.nullif(F.col("negatives"), F.lit(0))).alias("fpr"),
-        (F.col("tp") / F.nullif(F.col("positives"), F.lit(0))).alias("tpr"),
-    )
-    start = labelled(scores).select(*by, F.lit(None).cast("double").alias("threshold"),
-                                    F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return curve.unionByName(start.distinct())
+        bends = "pos <> next_pos or neg <> next_neg"
+        rows = rows.where(f"{HIGHEST} or next_pos is null or {bends}")
+    point = {
+        "fpr": F.col("fp") / F.nullif(F.col("negatives"), F.lit(0)),
+        "tpr": F.col("tp") / F.nullif(F.col("positives"), F.lit(0)),
+    }
+    return _points(rows, by, point, (0.0, 0.0))
 
 
 def area_under_roc() -> Column:

@@ -44,7 +44,8 @@ def index_range(cohort: DataFrame, visits: DataFrame) -> DataFrame:
     needs no sort within the person as a window would.
     """
     days = one_visit_per_day(visits)
-    joined = cohort.join(days, "person_id", "left")
+    # A person listed many times must not multiply with the days.
+    joined = cohort.distinct().join(days, "person_id", "left")
     distance = F.abs(F.datediff("visit_start_date", "covid_index"))
     order = [
         distance.isNull().alias("undated"),
