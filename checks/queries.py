@@ -53,7 +53,8 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    chosen = set(names)
+    return df.selectExpr(*[f"round({c}, 6) as {c}" if c in chosen else c for c in df.columns])
 
 
 def index_of(v: ClinicalViews) -> DataFrame:

@@ -118,16 +118,23 @@ def impute(df: DataFrame) -> DataFrame:
 
 
 def assemble(person: DataFrame, families: list[DataFrame], index: DataFrame) -> DataFrame:
-    """Left-join the families to the persons, add the label, keep the contract's columns."""
-    label = index.select("person_id", R.LABEL)
-    joined = reduce(lambda left, right: left.join(right, "person_id", "left"), [*families, label], person)
-    present = set(joined.columns)
+    """Left-join the families to the persons, add the label, keep the contract's columns.
+
+    A family travels through the joins as one struct. Sorts and joins then move a
+    single value per row and keep their generated code, which hundreds of separate
+    columns would cost them; the columns come back in the last projection.
+    """
+    found, joined = {}, None
+    for i, family in enumerate([person, *families, index.select("person_id", R.LABEL)]):
+        names = [c for c in family.columns if c != "person_id"]
+        found |= {c: f"__{i}.{c}" for c in names}
+        packed = family.select("person_id", F.struct(*names).alias(f"__{i}")) if names else family
+        joined = packed if joined is None else joined.join(packed, "person_id", "left")
     typed = [
-        f"cast({c if c in present else 'null'} as "
-        f"{'double' if c in R.DOUBLE_COLUMNS else 'bigint'}) as {c}"
+        f"cast({found.get(c, 'null')} as {'double' if c in R.DOUBLE_COLUMNS else 'bigint'}) as {c}"
         for c in R.FEATURE_COLUMNS
     ]
-    return joined.selectExpr("person_id", *typed, R.LABEL)
+    return joined.selectExpr("person_id", *typed, f"{found[R.LABEL]} as {R.LABEL}")
 
 
 def feature_table(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perindex import registry as R
+from perindex.functions.columns import sql_list, sql_literal
 
 # Units spread over the measurements of the demo views.
 DEMO_UNITS = (
@@ -172,18 +173,16 @@ class ClinicalViews:
         return self._table("lineitem").join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
 
     def _measurements(self, lines: DataFrame) -> DataFrame:
-        units = F.array(*[F.lit(u).cast("string") for u in DEMO_UNITS])
-        return lines.select(
-            F.col("o_custkey").alias("person_id"),
-            F.col("l_orderkey").alias("visit_occurrence_id"),
-            F.expr("cast(l_shipdate as date)").alias("measurement_date"),
-            F.col("l_partkey").alias("measurement_concept_id"),
-            F.expr(
-                "case when l_quantity = 13 then null when l_quantity = 17 then cast(950 as double) "
-                "when l_quantity = 19 then cast(-1 as double) else l_quantity end"
-            ).alias("value_as_number"),
-            units[F.expr(f"cast(l_suppkey % {len(DEMO_UNITS)} as int)")].alias("unit_concept_name"),
-            *[F.col(c) for c in lines.columns if c == "measurement_concept_name"],
+        units = ", ".join("null" if u is None else sql_literal(u) for u in DEMO_UNITS)
+        return lines.selectExpr(
+            "o_custkey as person_id",
+            "l_orderkey as visit_occurrence_id",
+            "cast(l_shipdate as date) as measurement_date",
+            "l_partkey as measurement_concept_id",
+            "case when l_quantity = 13 then null when l_quantity = 17 then cast(950 as double) "
+            "when l_quantity = 19 then cast(-1 as double) else l_quantity end as value_as_number",
+            f"array({units})[cast(l_suppkey % {len(DEMO_UNITS)} as int)] as unit_concept_name",
+            *[c for c in lines.columns if c == "measurement_concept_name"],
         )
 
     @cached_property
@@ -194,13 +193,13 @@ class ClinicalViews:
     @cached_property
     def named_measurement(self) -> DataFrame:
         """Measurements with concept names, as the labs need them."""
-        name = F.lit(None).cast("string")
-        for codeset, names in DEMO_LAB_NAMES.items():
-            listed = F.array(*[F.lit(n) for n in names])
-            pick = listed[F.expr(f"cast(p_partkey % {len(names)} as int)")]
-            name = F.when(F.col("p_size") == codeset, pick).otherwise(name)
-        name = F.when(F.expr("p_partkey % 11 = 0"), F.col("p_type")).otherwise(name)
-        names = self._table("part").select("p_partkey", name.alias("measurement_concept_name"))
+        picks = " ".join(
+            f"when p_size = {codeset} then "
+            f"array({sql_list(names)})[cast(p_partkey % {len(names)} as int)]"
+            for codeset, names in DEMO_LAB_NAMES.items()
+        )
+        name = f"case when p_partkey % 11 = 0 then p_type {picks} end"
+        names = self._table("part").selectExpr("p_partkey", f"{name} as measurement_concept_name")
         lines = self._lines().join(names, F.col("l_partkey") == F.col("p_partkey"))
         return self._measurements(lines)
 

@@ -52,6 +52,15 @@ def test_single_pass_equals_family_by_family(views):
             assert value == other or math.isclose(value, other, rel_tol=1e-12), (person, name)
 
 
+def test_lookups_above_the_broadcast_bound_give_the_same_features(views):
+    index = index_range(views.cohort, views.visits)
+    one, many = (
+        by_key(ft.event_features(views.tables(), index, DEMO, small), "person_id")
+        for small in (True, False)
+    )
+    assert one == many and len(one) > 100
+
+
 def test_empty_inputs_give_filled_rows(spark, table):
     tables = {
         name: empty_frame(spark, schemas.TABLES[name])
