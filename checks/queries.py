@@ -26,7 +26,7 @@ from perindex.plans import (
     feature_table as ft,
     labs,
     medications,
-    pipeline,
+    jobs,
     procedures,
     smoking,
     utilization as ut,
@@ -639,7 +639,7 @@ def feature_table(v):
 
 @query("select count(*) as n_rows, 263 as n_columns from feature_table")
 def feature_table_shape(v):
-    return pipeline.shape(features_of(v))
+    return jobs.shape(features_of(v))
 
 
 @query(

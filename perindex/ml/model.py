@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from perindex import registry as R
 from perindex.metrics.threshold import metric_set
-from perindex.session import materialize
+from perindex.session import checkpoint_dir, materialize
 
 # The boosted-tree settings. The L1 and L2 penalties of other
 # boosting libraries have no counterpart in Spark ML.
@@ -68,7 +68,12 @@ def boosted_trees(rounds: int = ROUNDS, seed: int = SEED) -> GBTClassifier:
 
 
 def fit(df: DataFrame, estimator=None, columns: list[str] | None = None) -> PipelineModel:
-    """Fit the assembler and a classifier on the labelled rows of ``df``."""
+    """Fit the assembler and a classifier on the labelled rows of ``df``.
+
+    Boosting checkpoints its running predictions every few rounds, given a folder:
+    a lost executor then costs some rounds, not all of them.
+    """
+    checkpoint_dir(df.sparkSession)
     stages = [assembler(columns), estimator or boosted_trees()]
     return Pipeline(stages=stages).fit(training_rows(df))
 
@@ -136,6 +141,7 @@ def grid_search(
     seed: int = SEED,
 ) -> CrossValidatorModel:
     """Cross-validated search over the parameters of one classifier, by AUROC."""
+    checkpoint_dir(df.sparkSession)
     estimator = estimator or boosted_trees()
     grid = grid or {"maxDepth": [4, 8], "stepSize": [0.05, 0.1]}
     builder = ParamGridBuilder()

@@ -43,14 +43,18 @@ def featurize(
     test_share: float | None = None,
     seed: int = SEED,
     los_max: int | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Write the index range and the feature table, and return the latter.
 
-    Both splits come from one evaluation of the plan.
+    An index range that exists already, such as one from ``read_index_range``, is
+    used as it is. Both splits come from one evaluation of the plan.
     """
     spark = tables["person"].sparkSession
     index_path = f"{output}/index_range"
-    index_range(tables["cohort"], tables["visits"]).write.mode("overwrite").parquet(index_path)
+    if index is None:
+        index = index_range(tables["cohort"], tables["visits"])
+    index.write.mode("overwrite").parquet(index_path)
     index = spark.read.schema(schemas.INDEX_RANGE).parquet(index_path)
     features = feature_table(tables, registry, index, los_max)
     write_features(assign_split(features, test_share, seed), f"{output}/features")

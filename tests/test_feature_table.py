@@ -7,7 +7,7 @@ from conftest import by_key, day
 
 from perindex import registry as R
 from perindex.operators.index_range import index_range
-from perindex.plans import diagnoses, labs, medications, pipeline, procedures, smoking, vitals
+from perindex.plans import diagnoses, jobs, labs, medications, procedures, smoking, vitals
 from perindex.plans import feature_table as ft
 from perindex.plans import utilization as ut
 from perindex.plans.demographics import demographics
@@ -90,18 +90,21 @@ def test_missing_family_is_filled(spark, table):
 
 
 def test_featurize_train_infer(spark, views, tmp_path):
-    features = pipeline.featurize(views.tables(), str(tmp_path / "out"), DEMO, test_share=0.25)
+    features = jobs.featurize(views.tables(), str(tmp_path / "out"), DEMO, test_share=0.25)
     assert features.count() == views.person.count()
-    shape = pipeline.shape(features).first()
+    shape = jobs.shape(features).first()
     assert (shape.n_rows, shape.n_columns) == (features.count(), 264)
     train = read_features(spark, str(tmp_path / "out/features"), "train")
     test = read_features(spark, str(tmp_path / "out/features"), "test")
     assert train.count() + test.count() == features.count()
-    pipeline.train(train, str(tmp_path / "model"), rounds=2)
-    metrics = pipeline.infer({"train": train, "test": test}, str(tmp_path / "model"), str(tmp_path / "pred"))
+    jobs.train(train, str(tmp_path / "model"), rounds=2)
+    metrics = jobs.infer({"train": train, "test": test}, str(tmp_path / "model"), str(tmp_path / "pred"))
     assert sorted(r.dataset for r in metrics.collect()) == ["test", "train"]
     predictions = spark.read.parquet(str(tmp_path / "pred"))
     assert set(predictions.columns) == {"person_id", "predict_prob", "dataset"}
     assert predictions.count() == features.count()
     stored = spark.read.parquet(str(tmp_path / "out/index_range"))
     assert stored.columns == schemas.INDEX_RANGE.names
+    given = jobs.featurize(views.tables(), str(tmp_path / "again"), DEMO, index=stored)
+    assert sorted(given.drop("split").collect()) == sorted(features.drop("split").collect())
+    assert given.select("split").distinct().collect() == [("full",)]

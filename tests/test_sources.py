@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import pytest
 from conftest import day
 
-from perindex.plans.pipeline import load_inputs
+from perindex.plans.jobs import load_inputs
 from perindex.session import checkpoint_dir, materialize
 from perindex.sources import readers, schemas, writers
 
