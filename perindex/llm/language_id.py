@@ -12,6 +12,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ BUCKETS, LONGEST = 1 << 14, 3
 #: Bounds of the fit: texts and landmarks of each language (at most ``CLASSES`` languages), on average.
 TEXTS, LANDMARKS, CLASSES = 500, 40, 200
 RIDGE = 1e-2
+#: Texts scored by one matrix product; a text whose best score is below ``LEAST`` has no language.
+BATCH, LEAST = 256, 0.3
 #: The answer for a text without a letter.
 UNKNOWN = "und"
 
@@ -132,6 +135,35 @@ def solve(labels: list[str], rows: np.ndarray) -> Model:
     return Model(languages, landmarks, weights.astype(np.float32))
 
 
+def languages(texts: list[str | None], model: Model | None) -> tuple[list[str], list[float]]:
+    """The language of each text and its score."""
+    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    known = [i for i, t in enumerate(texts) if t and has_letter(t)] if model else []
+    for at in range(0, len(known), BATCH):
+        block = known[at : at + BATCH]
+        found = model.scores(np.stack([present(texts[i]) for i in block]))
+        best = found.argmax(axis=1)
+        top = np.clip((1 + found[np.arange(len(block)), best]) / 2, 0, 1)
+        for i, b, s in zip(block, best, top, strict=True):
+            names[i], scores[i] = model.languages[b], float(s)
+    return names, scores
+
+
+def kept_documents(docs: DataFrame, least: float = LEAST, text: str = "text") -> DataFrame:
+    """``docs`` without texts that have no letter or that no language claims; all columns stay."""
+    model = fit(docs)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("lang_pred", "score"), languages(texts.tolist(), model), strict=True)))
+
+    marked = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
+        predicted(F.col(f"`{text}`").cast("string")).alias("found"),
+    )
+    return marked.filter((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least)).select("doc.*")
+
+
 def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The language of every text and a score from 0 to 1.
 
@@ -142,14 +174,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
 
     def make():
         def predicted(keys: list[int], held: list[bool], texts: list[str | None]) -> dict[str, list]:
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            known = [i for i, t in enumerate(texts) if t and has_letter(t)] if model else []
-            if known:
-                found = model.scores(np.stack([present(texts[i]) for i in known]))
-                best = found.argmax(axis=1)
-                top = np.clip((1 + found[np.arange(len(known)), best]) / 2, 0, 1)
-                for i, b, s in zip(known, best, top, strict=True):
-                    names[i], scores[i] = model.languages[b], float(s)
+            names, scores = languages(texts, model)
             return {"doc_id": keys, "held_out": held, "lang_pred": names, "score": scores}
 
         return predicted

@@ -12,9 +12,9 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
-from itertools import chain
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,17 +179,22 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray) -> l
     return rules
 
 
+def sampled(labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, int]:
+    """Labelled ids with their worst label, at most about ``sample`` of them, and how many there are in all."""
+    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    total = known.count()
+    share = min(1.0, sample / max(1, total))
+    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1), total
+
+
 def learn_from(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Rules from labelled rows: quality 0 is bad. Repeated labels of a document count once, the worst of them.
 
     At most about ``sample`` rows come to the driver. Without labels of both kinds there are no rules.
     """
-    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    total = known.count()
-    share = min(1.0, sample / max(1, total))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    chosen, _ = sampled(labels, sample)
     rows = (
-        stats.join(F.broadcast(chosen) if total <= sample else chosen, "doc_id")
+        stats.join(F.broadcast(chosen), "doc_id")
         .select("doc_id", "quality", *(F.expr(c).alias(n) for n, c in RATIOS.items()))
         .limit(2 * sample)
         .collect()
@@ -211,11 +216,33 @@ def verdict(rules: list[Rule]) -> Column:
     return reduce(lambda out, step: out.when(step[0], step[1]), steps[1:], F.when(*steps[0]))
 
 
+def kept_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the documents that the base rules or the learned list reject; all columns stay.
+
+    The rules are learned from the labelled documents among ``docs``; nothing is shuffled but the
+    labels.
+    """
+    names = [part.split(" ")[0] for part in f"{COUNTS}, {EXTRA}".split(", ")][1:]
+
+    @F.pandas_udf(f"{COUNTS}, {EXTRA}".removeprefix("doc_id long, "))
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_counts(t) for t in texts], columns=names, dtype="int64")
+
+    labelled = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("body"))
+    known, _ = sampled(labels)
+    sample = labelled.join(F.broadcast(known), "doc_id", "left_semi")
+    rules = learn_from(statistics(sample, text="body"), labels)
+    marked = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), counted(whole_text(text)).alias("counts")
+    ).select("doc", "counts.*")
+    return marked.filter(~base_failed() & verdict(rules).isNull()).select("doc.*")
+
+
 def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     """Counts, the base verdict, the rule that rejects a document, and whether it is kept."""
     return (
         stats.withColumn("base_failed", base_failed())
         .withColumn("rule", verdict(rules))
         .withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
-        .select(*(p.split(" ")[0] for p in chain(COUNTS.split(", "))), "base_failed", "kept", "rule")
+        .select(*(p.split(" ")[0] for p in COUNTS.split(", ")), "base_failed", "kept", "rule")
     )

@@ -219,6 +219,16 @@ def hex_of(value: str = "hash") -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
+def group_labels(hashed: DataFrame, distance: int = 4) -> DataFrame:
+    """``(hash, label, component_id)`` of each fingerprint of ``(doc_id, hash)`` rows."""
+    nodes = materialize(hashed.groupBy("hash").agg(F.min("doc_id").alias("first_id")), "nodes")
+    labels = components(links(nodes.select("hash"), distance))
+    labelled = nodes.join(labels, "hash", "left").withColumn("label", F.coalesce("label", "hash"))
+    labelled = materialize(labelled, "labelled")
+    firsts = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return materialize(labelled.join(firsts, "label").select("hash", "label", "component_id"), "groups")
+
+
 def near_duplicates(
     docs: DataFrame, distance: int = 4, width: int = 4, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -229,13 +239,36 @@ def near_duplicates(
     null: then ``component_id`` is null. ``label`` tells components apart in any case.
     """
     hashed = materialize(fingerprints(docs, width, doc_id, text), "fingerprints")
-    nodes = materialize(hashed.groupBy("hash").agg(F.min("doc_id").alias("first_id")), "nodes")
-    labels = components(links(nodes.select("hash"), distance))
-    labelled = nodes.join(labels, "hash", "left").withColumn("label", F.coalesce("label", "hash"))
-    labelled = materialize(labelled, "labelled")
-    firsts = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    groups = materialize(labelled.join(firsts, "label").select("hash", "label", "component_id"), "groups")
+    groups = group_labels(hashed, distance)
     # Many documents may share a fingerprint, which adaptive execution splits; the other side has one row each.
-    return hashed.join(groups, "hash").select(
-        "doc_id", hex_of().alias("fingerprint"), "component_id", F.col("label")
+    return hashed.join(groups, "hash").select("doc_id", hex_of().alias("fingerprint"), "component_id", "label")
+
+
+def one_of_each(docs: DataFrame, distance: int = 4, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of the smallest id, null ids last.
+
+    All columns stay. Of repeated rows with that id and fingerprint one stays.
+    """
+
+    @F.pandas_udf("long")
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        values = [shingle_fingerprint(t.encode().lower().split(), width) for t in texts]
+        return pd.Series(values, dtype="uint64").astype("int64")
+
+    marked = materialize(
+        docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), fingerprint(whole_text(text)).alias("hash")),
+        "marked",
+    )
+    key = F.col(f"doc.`{doc_id}`").cast("long")
+    hashed = marked.select(key.alias("doc_id"), "hash")
+    groups = group_labels(hashed, distance)
+    # Copies fold into one row for each fingerprint before anything is joined.
+    firsts = hashed.groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
+    chosen = F.min_by(F.struct("hash", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "hash"))
+    winners = firsts.join(groups, "hash").groupBy("label").agg(chosen.alias("w")).select(
+        F.col("w.hash").alias("w_hash"), F.col("w.doc_id").alias("w_id")
+    )
+    kept = marked.withColumn("id", key).join(
+        winners, (F.col("hash") == F.col("w_hash")) & F.col("id").eqNullSafe(F.col("w_id")), "left_semi"
     )
+    return kept.dropDuplicates(["hash", "id"]).select("doc.*")
