@@ -1,0 +1,221 @@
+"""Operators against libraries, brute force and edge cases, on small fixtures."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from tokenizers import Tokenizer
+
+from perindex.llm import (
+    conversations,
+    language_id,
+    license_scan,
+    packing,
+    piece_counts,
+    posting_lists,
+    prefix_bpe,
+    quality_rules,
+    simhash,
+)
+
+BYTE, PIECE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"))
+
+
+def texts() -> list[str | None]:
+    rnd = random.Random(4)
+    letters = " \n\tabTheing.,'s1é▁日\x1c\xa0​😀<|>"
+    made = ["".join(rnd.choices(letters, k=rnd.randint(0, 200))) for _ in range(60)]
+    odd = ["a" * 3000, " " * 300, "\n\n \n", "<|endoftext|>x<|endoftext|>", "a▁b ▁", "I'll they've 'S", "<s> </s><unk>", "the the cat " * 900]
+    return [None, "", *odd, *made, "same words here", "same words here"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Texts with an extra column whose name the operators use themselves."""
+    rows = [(i, t, "x") for i, t in enumerate(texts())]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_words string")
+
+
+def by_id(df) -> dict:
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_trie_encoding_equals_the_library(docs):
+    library, got = Tokenizer.from_file(BYTE), by_id(prefix_bpe.coded_documents(docs, BYTE))
+    for i, text in enumerate(texts()):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert got[i]["n_tokens"] == len(ids)
+        assert got[i]["ids_sha256"] == sha(",".join(map(str, ids)))
+        assert got[i]["decoded_sha256"] == sha(library.decode(ids, skip_special_tokens=False))
+    assert prefix_bpe.coded_documents(docs.limit(0), BYTE).count() == 0
+
+
+def test_heap_counts_equal_the_library(docs):
+    library, got = sentencepiece.SentencePieceProcessor(model_file=PIECE), by_id(piece_counts.token_counts(docs, PIECE, 1000))
+    for i, text in enumerate(texts()):
+        count = len(library.encode(text or ""))
+        assert (got[i]["n_tokens"], got[i]["over_limit"], got[i]["n_bytes"]) == (count, count > 1000, len((text or "").encode()))
+    assert piece_counts.token_counts(docs.limit(0), PIECE, 1).count() == 0
+
+
+def test_packing_places_every_piece_once(docs):
+    rows = packing.pack_documents(docs, WORD, capacity=64).collect()
+    library, sequences = Tokenizer.from_file(WORD), {}
+    lengths = {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts())}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 64
+    for i, length in lengths.items():
+        assert sum(r["length"] for r in rows if r["doc_id"] == i) == length
+    assert packing.pack_documents(docs.limit(0), WORD, 64).count() == 0
+
+
+def test_license_base_equals_brute_force(spark):
+    rnd = random.Random(2)
+    words = "under the MIT license Apache License, Version 2.0 CC BY-NC cc by nc and é 日 x".split(" ")
+    made = [None, "", "cc by nc cc by nc", *(" ".join(rnd.choices(words, k=30)) for _ in range(300))]
+    got = by_id(license_scan.scan_documents(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")))
+    for i, text in enumerate(made):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        hits = [(k, label) for phrase, label in license_scan.BASE.items() for k in range(len(found))
+                if found[k : k + len(phrase.split())] == phrase.split()]
+        row, places = got[i], sorted(k for k, _ in hits)
+        assert (row["n_words"], row["n_base"]) == (len(found), len(hits))
+        assert (row["first_word"], row["last_word"]) == ((places[0], places[-1]) if hits else (None, None))
+        base = sorted({label for _, label in hits})
+        assert row["base_labels"] == ",".join(base) and set(base) <= set(row["labels"].split(",")) | set()
+        assert 0 <= row["score"] <= 1
+
+
+def test_contained_detections_give_way():
+    scanner = license_scan.Scanner(license_scan.signatures())
+    assert len(license_scan.signatures()) >= 200
+    assert [f[0] for f in scanner.detections("licensed under the gnu general public license version 3")] == ["gpl-3"]
+    assert [f[0] for f in scanner.detections("cc by nc sa 4 0")] == ["cc-by-nc-sa-4.0"]
+
+
+def test_simhash_components_equal_brute_force(spark):
+    rnd = random.Random(8)
+    base = [[f"w{rnd.randint(0, 500)}" for _ in range(rnd.randint(0, 120))] for _ in range(40)]
+    made = [None, "", " \t", "One two", "one TWO"]
+    for words in base:
+        for _ in range(rnd.randint(1, 5)):
+            copy = list(words)
+            if copy and rnd.random() < 0.7:
+                copy[rnd.randrange(len(copy))] = "changed"
+            made.append(" ".join(copy))
+    docs = spark.createDataFrame([(i + 3, t) for i, t in enumerate(made)], "doc_id long, text string")
+    prints = []
+    for text in made:
+        words = re.findall(r"[^ \t-\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    label = list(range(len(prints)))
+    changed = True
+    while changed:
+        changed = False
+        for i, p in enumerate(prints):
+            for j, q in enumerate(prints):
+                if (p ^ q).bit_count() <= 4 and label[j] > label[i]:
+                    label[j], changed = label[i], True
+    got = by_id(simhash.near_duplicates(docs))
+    for i, value in enumerate(prints):
+        assert (got[i + 3]["fingerprint"], got[i + 3]["component_id"]) == (f"{value:016x}", label[i] + 3)
+    kept = simhash.one_of_each(docs).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({x + 3 for x in label})
+
+
+def test_large_groups_are_dealt_again():
+    rnd = np.random.default_rng(1)
+    centre = rnd.integers(0, 1 << 63, 40, dtype=np.uint64)
+    values = np.unique(np.concatenate([centre ^ (np.uint64(1) << rnd.integers(0, 64, 40).astype(np.uint64)) for _ in range(8)]))
+    a, b = simhash.forest(values, 4)
+    near = np.bitwise_count(a ^ b)
+    assert len(a) and len(a) < len(values) and near.max() <= 64
+    index = simhash.GrayIndex(values)
+    pairs = sum(len(i) for i, _ in index.links(4))
+    assert pairs == sum((np.bitwise_count(values[i + 1 :] ^ v) <= 4).sum() for i, v in enumerate(values))
+
+
+def test_chat_collapse(spark):
+    turns = ["hi", "hello", "more", None]
+    logs = [(1, i, "user", t) for i, t in enumerate(turns[:2])] + [(2, i, "user", t) for i, t in enumerate(turns)]
+    logs += [(3, i, "user", t) for i, t in enumerate(turns)] + [(4, 0, "user", "other"), (5, 0, "bot", "hi"), (None, 0, "user", "x")]
+    logs += [(6, i, "user", f"long {i}") for i in range(200)] + [(7, i, "user", f"long {i}") for i in range(130)]
+    df = spark.createDataFrame(logs, "conv_id long, turn long, role string, text string")
+    rows = conversations.collapse_and_render(df).collect()
+    assert {r["conv_id"] for r in rows} == {2, 3, 4, 5, 6}
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas())
+    expected = con.execute(conversations.ORACLE).fetchall()
+    assert sorted((r["conv_id"], r["piece"], r["n_turns"], r["n_piece_turns"], r["chat"]) for r in rows) == sorted(
+        (int(a), int(b), int(c), int(d), e) for a, b, c, d, e in expected
+    )
+
+
+def test_posting_lists_reach_the_neighbours(spark):
+    rng = np.random.default_rng(3)
+    points = np.round(rng.normal(size=(1500, 16)), 3)
+    points[700:1000] = points[100]
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(2000, None), (2100, [0.0] * 16), (2200, [float("nan")] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in posting_lists.search(df).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert set(got) == set(range(0, 1500, 100))
+    hits = 0
+    for q in got:
+        far = np.sqrt(((points - points[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        best = np.lexsort((np.arange(1500), far))[:10]
+        assert sorted(got[q]) == list(range(1, 11))
+        assert all(abs(far[i] - s) < 1e-12 for i, s in got[q].values())
+        hits += len(set(best.tolist()) & {i for i, _ in got[q].values()})
+    assert hits >= 0.9 * 10 * len(got)
+    assert posting_lists.search(df.limit(0)).count() == 0
+    assert posting_lists.search(df.filter("vec_id in (0, 1, 2)")).count() == 2
+
+
+def test_language_is_learned_and_held_out(spark):
+    tables = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(tables)
+    rows = language_id.predict(tables, model).join(tables.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.95 * len(rows)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !"), (4, "the of and " * 5000)], "doc_id long, text string")
+    got = by_id(language_id.predict(odd, model))
+    assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and got[4]["lang_pred"] in model.languages
+    assert language_id.fit(tables.limit(0)) is None
+
+
+def test_quality_counts_and_rules(spark):
+    text = "a b c a b c\nx # $\nx # $\n\n"
+    counts = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), quality_rules.text_counts(text), strict=False))
+    assert counts == {"n_words": 12, "word_chars": 12, "n_symbols": 4, "n_dup_lines": 1, "n_repeat_words": 12}
+    assert quality_rules.repeated_words([b"a"] * 5) == 5 and quality_rules.text_counts("")[:5] == (0,) * 5
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    stats = quality_rules.statistics(docs)
+    rules = quality_rules.learn_from(stats, labels)
+    judged = quality_rules.judge(stats, rules).join(labels, "doc_id").filter("not base_failed").collect()
+    good, bad = ([r["kept"] for r in judged if r["quality"] == q] for q in (1, 0))
+    assert rules and sum(good) >= 0.95 * len(good) and sum(bad) <= 0.2 * len(bad)
+    assert quality_rules.learn_from(stats, labels.limit(0)) == []
