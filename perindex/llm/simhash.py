@@ -26,6 +26,8 @@ BITS = 64
 FAN_OUT, QUERIES = 16, 512
 #: A group with more fingerprints is dealt again, by the bands of its other bits.
 GROUP = 4096
+#: Members that the groups of one table have in all, on average.
+BUCKET_ROWS = 16_384
 ALL = (1 << BITS) - 1
 
 
@@ -152,13 +154,18 @@ def banded(nodes: DataFrame, key: list[str], parts: list[list[int]], names: tupl
     return nodes.select(*key, "hash", F.inline(masks))
 
 
-def _forests(groups: DataFrame, key: list[str], distance: int) -> DataFrame:
+def _forests(groups: DataFrame, key: list[str], distance: int, rows: int) -> DataFrame:
+    """The forests of all groups; many groups share a task's table, ``rows`` are their members in all."""
+
     def join(frame: pd.DataFrame) -> pd.DataFrame:
-        values = np.unique(frame["hash"].to_numpy().astype(np.int64)).view(np.uint64)
-        a, b = forest(values, distance)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        values = frame["hash"].to_numpy().astype(np.int64).view(np.uint64)
+        found = [forest(np.unique(values[at]), distance) for at in frame.groupby(key, sort=False).indices.values()]
+        a, b = (np.concatenate([f[side] for f in found]).view(np.int64) for side in (0, 1))
+        return pd.DataFrame({"a": a, "b": b})
 
-    return groups.groupBy(*key).applyInPandas(join, "a long, b long")
+    buckets = max(1, -(-rows // BUCKET_ROWS))
+    bucketed = groups.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+    return bucketed.groupBy("bucket").applyInPandas(join, "a long, b long")
 
 
 def links(nodes: DataFrame, distance: int = 4, group: int = GROUP) -> DataFrame:
@@ -174,17 +181,20 @@ def links(nodes: DataFrame, distance: int = 4, group: int = GROUP) -> DataFrame:
     sizes = first.groupBy("band", "bits").count().filter(F.col("count") > 1)
     sizes = materialize(sizes, "band_sizes")
     small = first.join(sizes.filter(F.col("count") <= group).drop("count"), ["band", "bits"])
-    found = _forests(small, ["band", "bits"], distance)
-    large = sizes.filter(F.col("count") > group).drop("count")
-    if large.isEmpty():
+    n_small, n_large = sizes.agg(*(
+        F.coalesce(F.sum(F.when(side, F.col("count"))), F.lit(0)) for side in (F.col("count") <= group, F.col("count") > group)
+    )).first()
+    found = _forests(small, ["band", "bits"], distance, n_small)
+    if not n_large:
         return found
+    large = sizes.filter(F.col("count") > group).drop("count")
     again = None
     for k, part in enumerate(parts):
         rest = [b for b in range(BITS) if b not in part]
         mine = first.filter(F.col("band") == k).join(large.filter(F.col("band") == k), ["band", "bits"])
         dealt = banded(mine, ["band", "bits"], bands(rest, count), ("band2", "bits2"))
         again = dealt if again is None else again.unionByName(dealt)
-    return found.unionByName(_forests(again, ["band", "bits", "band2", "bits2"], distance))
+    return found.unionByName(_forests(again, ["band", "bits", "band2", "bits2"], distance, count * n_large))
 
 
 def components(edges: DataFrame) -> DataFrame:
