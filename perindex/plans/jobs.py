@@ -48,12 +48,17 @@ def featurize(
     """Write the index range and the feature table, and return the latter.
 
     An index range that exists already, such as one from ``read_index_range``, is
-    used as it is. Both splits come from one evaluation of the plan.
+    used as it is; a person may occur in it once only. It is stored apart before the
+    output is written, so it may come from the output folder itself. Both splits come from one evaluation of the plan.
     """
     spark = tables["person"].sparkSession
     index_path = f"{output}/index_range"
     if index is None:
         index = index_range(tables["cohort"], tables["visits"])
+    else:
+        index = materialize(index, "index_range")
+        if not index.groupBy("person_id").count().filter("count > 1").isEmpty():
+            raise ValueError("the index range holds a person more than once")
     index.write.mode("overwrite").parquet(index_path)
     index = spark.read.schema(schemas.INDEX_RANGE).parquet(index_path)
     features = feature_table(tables, registry, index, los_max)

@@ -108,3 +108,16 @@ def test_featurize_train_infer(spark, views, tmp_path):
     given = jobs.featurize(views.tables(), str(tmp_path / "again"), DEMO, index=stored)
     assert sorted(given.drop("split").collect()) == sorted(features.drop("split").collect())
     assert given.select("split").distinct().collect() == [("full",)]
+
+
+def test_featurize_keeps_the_index_range_it_reads(spark, views, tmp_path):
+    folder = str(tmp_path / "out")
+    index_range(views.cohort, views.visits).write.parquet(f"{folder}/index_range")
+    before = sorted(spark.read.parquet(f"{folder}/index_range").collect())
+    index = spark.read.parquet(f"{folder}/index_range")
+    with pytest.raises(ValueError, match="more than once"):
+        jobs.featurize(views.tables(), folder, DEMO, index=index.unionByName(index))
+    assert sorted(spark.read.parquet(f"{folder}/index_range").collect()) == before
+    features = jobs.featurize(views.tables(), folder, DEMO, index=index)
+    assert sorted(spark.read.parquet(f"{folder}/index_range").collect()) == before
+    assert features.count() == views.person.count()
