@@ -12,6 +12,8 @@ one place but a few loose bins of each block below it.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -83,30 +85,38 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+@lru_cache(maxsize=8192)
+def selections(lengths: tuple[int, ...]) -> tuple[list, list]:
+    """One item and two items of a bin as ``(length, places)``, one for each combination of lengths.
+
+    Equal lengths exchange alike, so a bin has as many as its few distinct lengths make.
+    """
+    places: dict[int, list[int]] = {}
+    for place, length in enumerate(lengths):
+        places.setdefault(length, []).append(place)
+    one = [(x, [at[0]]) for x, at in places.items()]
+    two = [(x + y, [i, j]) for k, (x, [i]) in enumerate(one) for y, [j] in one[:k]]
+    two += [(2 * x, at[:2]) for x, at in places.items() if len(at) > 1]
+    return one, two
+
+
 def exchange(giver: list[int], taker: list[int], room: int) -> tuple[int, list[int], list[int]]:
     """The exchange that carries most from ``giver`` to ``taker``, which has ``room`` left.
 
     Both are lists of lengths. Looked at: one item moves; one goes for one; two go for
     one; one goes for two. Returns the gain and the places given and taken.
     """
-    give = [(x, [i]) for i, x in enumerate(giver)]
-    give += [(x + y, [i, j]) for i, x in enumerate(giver) for j, y in enumerate(giver[:i])]
-    take = [(0, [])] + [(x, [i]) for i, x in enumerate(taker)]
-    pairs = [(x + y, [i, j]) for i, x in enumerate(taker) for j, y in enumerate(taker[:i])]
+    one, two = selections(tuple(giver))
+    back_one, back_two = selections(tuple(taker))
     best = (0, [], [])
-    one, two = np.array([x for x, _ in take]), np.array([x for x, _ in pairs], dtype=int)
-    for given, places in give:
-        options = (
-            one if len(places) == 1 and not len(two) else np.concatenate([one, two]) if len(places) == 1 else one[1:]
-        )
-        if not len(options):
-            continue
-        gain = given - options
-        gain[gain > room] = 0
-        k = int(gain.argmax())
-        if gain[k] > best[0]:
-            source = take + pairs if len(places) == 1 else take[1:]
-            best = (int(gain[k]), places, source[k][1])
+    for gives, takes in ((one, [(0, []), *back_one, *back_two]), (two, back_one)):
+        # The smallest return that still fits carries most.
+        takes = sorted(takes)
+        sizes = [size for size, _ in takes]
+        for size, places in gives:
+            at = bisect_left(sizes, size - room)
+            if at < len(sizes) and size - sizes[at] > best[0]:
+                best = (size - sizes[at], places, takes[at][1])
     return best
 
 
