@@ -49,7 +49,8 @@ class PrefixBpe:
         self.id_of = {b: i for i, b in self.bytes_of.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(self._bytes(a), self._bytes(b)): k for k, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.id_of))
+        self.seams, self.halves = self._seams()
+        self.steps, self.ends = self._steps()
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -62,6 +63,31 @@ class PrefixBpe:
     def _bytes(self, token: str) -> bytes:
         return bytes(self.byte_of[c] for c in token)
 
+    def _seams(self) -> tuple[dict[tuple[int, int], int], dict[int, tuple[int, int, int]]]:
+        """The rank of each pair of tokens, and of each token the rank and the halves it is made from.
+
+        The check at the seam of two tokens needs one way to make a token, out of earlier ones.
+        """
+        seams = {(self.id_of[a], self.id_of[b]): k for (a, b), k in self.rank.items()}
+        halves = {token: (-1, token, token) for token in self.bytes_of}
+        for (a, b), k in self.rank.items():
+            made = self.id_of[a + b]
+            if halves[made][0] >= 0 or k <= max(halves[self.id_of[a]][0], halves[self.id_of[b]][0]):
+                raise ValueError("a token is made in two ways, or out of later ones")
+            halves[made] = (k, self.id_of[a], self.id_of[b])
+        return seams, halves
+
+    def _steps(self) -> tuple[dict[int, int], dict[int, int]]:
+        """A trie of all tokens: the place after ``256 * place + byte``, and the token that ends at a place."""
+        steps: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for data, token in self.id_of.items():
+            place = 0
+            for byte in data:
+                place = steps.setdefault(256 * place + byte, len(steps) + 1)
+            ends[place] = token
+        return steps, ends
+
     def merged(self, data: bytes) -> list[bytes]:
         """The merge rules applied to a few bytes, lowest rank first, leftmost first."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -73,12 +99,32 @@ class PrefixBpe:
         return parts
 
     def may_follow(self, first: int, second: int) -> bool:
+        """Whether no merge reaches over the seam of two tokens while both are put together.
+
+        Looking back in time, the token made last falls into its halves first; those at the
+        seam stay in view. A pair there merges if it comes before either is taken in: of equal
+        ranks the pair further left comes first.
+        """
         known = self.follows.get((first, second))
         if known is None:
             if len(self.follows) > KEPT:
                 self.follows.clear()
-            a, b = self.bytes_of[first], self.bytes_of[second]
-            known = self.follows[first, second] = self.merged(a + b) == [a, b]
+            left, right, left_until, right_until = first, second, 1 << 60, 1 << 60
+            while True:
+                rank = self.seams.get((left, right))
+                if rank is not None and rank < left_until and rank <= right_until:
+                    known = False
+                    break
+                left_made, _, left_half = self.halves[left]
+                right_made, right_half, _ = self.halves[right]
+                if left_made < 0 and right_made < 0:
+                    known = True
+                    break
+                if left_made >= right_made:
+                    left, left_until = left_half, left_made
+                else:
+                    right, right_until = right_half, right_made
+            self.follows[first, second] = known
         return known
 
     def may_start(self, token: int) -> bool:
@@ -87,13 +133,15 @@ class PrefixBpe:
             known = self.whole[token] = len(self.merged(self.bytes_of[token])) == 1
         return known
 
-    def last_token(self, path: bytearray, depth: int, last: list[int]) -> int:
-        """The token that ends the encoding of ``path[:depth]``, given that of every shorter prefix."""
-        for length in range(min(depth, self.longest), 0, -1):
-            token = self.id_of.get(bytes(path[depth - length : depth]))
-            if token is None:
-                continue
-            if self.may_start(token) if length == depth else self.may_follow(last[depth - length], token):
+    def last_token(self, open_: list[tuple[int, int]], last: list[int]) -> int:
+        """The token that ends the encoding of a prefix, given that of every shorter prefix.
+
+        ``open_`` has, longest first, the start of each run of bytes up to here that begins some token,
+        and its place in the trie of tokens.
+        """
+        for start, place in open_:
+            token = self.ends.get(place)
+            if token is not None and (self.may_follow(last[start], token) if start else self.may_start(token)):
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
@@ -106,16 +154,17 @@ class PrefixBpe:
                 node = node.setdefault(byte, {})
             node[-1] = word
         found: dict[bytes, tuple[int, ...]] = {}
-        path, last = bytearray(), [0]
-        todo = [(byte, child, 1) for byte, child in root.items()]
+        last, step = [0], self.steps.get
+        todo = [(byte, child, 1, [(0, 0)]) for byte, child in root.items()]
         while todo:
-            byte, node, depth = todo.pop()
-            del path[depth - 1 :], last[depth:]
-            path.append(byte)
-            last.append(self.last_token(path, depth, last))
+            byte, node, depth, before = todo.pop()
+            del last[depth:]
+            open_ = [(start, to) for start, place in before if (to := step(256 * place + byte)) is not None]
+            last.append(self.last_token(open_, last))
+            open_.append((depth, 0))
             for key, child in node.items():
                 if key != -1:
-                    todo.append((key, child, depth + 1))
+                    todo.append((key, child, depth + 1, open_))
                     continue
                 ids, at = [], depth
                 while at:

@@ -219,3 +219,32 @@ def test_quality_counts_and_rules(spark):
     good, bad = ([r["kept"] for r in judged if r["quality"] == q] for q in (1, 0))
     assert rules and sum(good) >= 0.95 * len(good) and sum(bad) <= 0.2 * len(bad)
     assert quality_rules.learn_from(stats, labels.limit(0)) == []
+
+
+def test_the_seam_check_agrees_with_merging():
+    bpe = prefix_bpe.PrefixBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(2)
+    tokens = [t for t in bpe.bytes_of if t not in bpe.special.values()]
+    pairs = rng.choice(tokens, (4000, 2)).tolist()
+    near = [i for ids in bpe.encode_batch([t or "" for t in texts()]) for i in ids][:3000]
+    runs = [t for t in tokens if len(set(bpe.bytes_of[t])) == 1 and len(bpe.bytes_of[t]) < 40]
+    pairs += list(zip(near, near[1:], strict=False)) + [(a, b) for a in runs for b in runs]
+    for a, b in pairs:
+        both = bpe.merged(bpe.bytes_of[a]) == [bpe.bytes_of[a]] and bpe.merged(bpe.bytes_of[b]) == [bpe.bytes_of[b]]
+        if both:
+            assert bpe.may_follow(a, b) == (bpe.merged(bpe.bytes_of[a] + bpe.bytes_of[b]) == [bpe.bytes_of[a], bpe.bytes_of[b]])
+
+
+def test_exchange_carries_most():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        giver, taker = (rng.integers(1, 30, rng.integers(1, 6)).tolist() for _ in range(2))
+        room = int(rng.integers(1, 20))
+        picks = [[(i,) for i in range(len(x))] + [(i, j) for i in range(len(x)) for j in range(i)] for x in (giver, taker)]
+        gains = [
+            sum(giver[i] for i in g) - sum(taker[i] for i in t)
+            for g in picks[0] for t in [(), *picks[1]] if len(g) == 1 or len(t) == 1
+        ]
+        gain, given, taken = packing.exchange(giver, taker, room)
+        assert gain == max([g for g in gains if 0 < g <= room], default=0)
+        assert gain == sum(giver[i] for i in given) - sum(taker[i] for i in taken)
