@@ -1,27 +1,35 @@
 """Ranking metrics: cumulative counts by score, ROC and precision-recall curves.
 
-A running total over every distinct score must not run in one task. Scores are
-cut into buckets by quantiles; the few bucket totals give each bucket its offset,
-and the running total inside a bucket starts there.
+A running total over every distinct score must not run in one task. The distinct
+scores are dealt into ranges of bounded size; the range totals give each range its
+offset, and the running total inside a range starts there. Any number of rows takes
+this one way; few rows make one range.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perindex.session import materialize
+
 SCORE, LABEL = "predict_prob", "true_label"
-# Scores that one task may put in order. Fewer rows than this need no buckets.
+# Distinct scores that one task may put in order.
 ROWS_PER_BUCKET = 100_000
-MAX_BUCKETS = 4096
 
 
 def labelled(scores: DataFrame) -> DataFrame:
-    """Scored rows with a known label; metrics are undefined for the others."""
-    return scores.where(F.col(LABEL).isNotNull() & F.col(SCORE).isNotNull())
+    """Scored rows with a known label, the score as a double.
+
+    A score that is null or not a number is unknown. Infinite scores rank as the
+    extremes that they are.
+    """
+    score = F.col(SCORE).cast("double")
+    return scores.withColumn(SCORE, score).where(
+        F.col(LABEL).isNotNull() & F.col(SCORE).isNotNull() & ~F.isnan(SCORE)
+    )
 
 
 def by_score(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -32,38 +40,18 @@ def by_score(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def bucket_edges(scores: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
-    """Quantiles that cut the scores into buckets of about ``rows_per_bucket`` rows.
+def ranges(rows: DataFrame, by: tuple[str, ...] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Stored ``rows`` of ``by_score`` with ``bucket``: ranges in the order of group and falling score.
 
-    Only these numbers, at most ``MAX_BUCKETS``, reach the driver. They decide
-    the size of the tasks and never the result.
+    The number of ranges follows the number of rows. The ranges are stored with the
+    rows, so that every reader sees the same ones.
     """
-    known = labelled(scores)
-    buckets = min(MAX_BUCKETS, math.ceil(known.count() / rows_per_bucket))
+    stored = materialize(rows, "distinct_scores")
+    buckets = math.ceil(stored.count() / rows_per_bucket)
     if buckets < 2:
-        return []
-    shares = [i / buckets for i in range(1, buckets)]
-    row = known.agg(F.percentile_approx(SCORE, shares, buckets * 4).alias("edges")).first()
-    return sorted(set(row["edges"]))
-
-
-def _running(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """``steps`` for few scores: one ordered pass per group."""
-    group = Window.partitionBy(*by)
-    down = group.orderBy(F.desc(SCORE))
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(
-        *by,
-        SCORE,
-        "pos",
-        "neg",
-        F.sum("pos").over(upto).alias("tp"),
-        F.sum("neg").over(upto).alias("fp"),
-        F.sum("pos").over(group).alias("positives"),
-        F.sum("neg").over(group).alias("negatives"),
-        F.lead("pos").over(down).alias("next_pos"),
-        F.lead("neg").over(down).alias("next_neg"),
-    )
+        return stored.withColumn("bucket", F.lit(0))
+    dealt = stored.repartitionByRange(buckets, *by, F.desc(SCORE))
+    return materialize(dealt.withColumn("bucket", F.spark_partition_id()), "score_ranges")
 
 
 def steps(
@@ -73,27 +61,21 @@ def steps(
 
     ``tp`` and ``fp`` count the rows scored at least as high; ``positives`` and
     ``negatives`` are the totals of the group. ``next_pos`` and ``next_neg`` are
-    the counts of the next lower score.
+    the counts of the next lower score. The scores are evaluated once and stored.
     """
-    edges = bucket_edges(scores, rows_per_bucket)
-    if not edges:
-        return _running(by_score(scores, by), by)
-    splits = [float("-inf"), *edges, float("inf")]
-    bucketizer = Bucketizer(splits=splits, inputCol=SCORE, outputCol="bucket")
-    rows = bucketizer.transform(by_score(scores, by))
+    rows = ranges(by_score(scores, by), by, rows_per_bucket)
     totals = rows.groupBy(*by, "bucket").agg(
         F.sum("pos").alias("bucket_pos"),
         F.sum("neg").alias("bucket_neg"),
         F.max_by("pos", SCORE).alias("top_pos"),
         F.max_by("neg", SCORE).alias("top_neg"),
     )
-    # At most one row per group and bucket, so these windows are short.
+    # One row per group and range, so these windows are short.
     group = Window.partitionBy(*by)
-    down = group.orderBy(F.desc("bucket"))
+    down = group.orderBy("bucket")
     above = down.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by,
-        "bucket",
+        *[F.col(c).alias(f"of_{c}") for c in (*by, "bucket")],
         F.coalesce(F.sum("bucket_pos").over(above), F.lit(0)).alias("pos_above"),
         F.coalesce(F.sum("bucket_neg").over(above), F.lit(0)).alias("neg_above"),
         F.sum("bucket_pos").over(group).alias("positives"),
@@ -101,11 +83,11 @@ def steps(
         F.lead("top_pos").over(down).alias("next_top_pos"),
         F.lead("top_neg").over(down).alias("next_top_neg"),
     )
-    if not by:
-        offsets = F.broadcast(offsets)
     within = Window.partitionBy(*by, "bucket").orderBy(F.desc(SCORE))
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(offsets, [*by, "bucket"])
+    # Rows of a group that has no name belong together as well.
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*by, "bucket")]
+    joined = rows.join(offsets, same)
     return joined.select(
         *by,
         F.col(SCORE),

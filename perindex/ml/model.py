@@ -79,17 +79,31 @@ def fit(df: DataFrame, estimator=None, columns: list[str] | None = None) -> Pipe
 
 
 def score(model, df: DataFrame) -> DataFrame:
-    """``person_id, predict_prob`` and, where present, label and dataset."""
+    """``person_id, predict_prob, true_label`` and, where present, ``dataset``.
+
+    The label is null where a person, or the whole table, has none.
+    """
     probability = vector_to_array("probability")[1]
-    extra = [F.col(R.LABEL).alias("true_label")] if R.LABEL in df.columns else []
-    extra += [F.col("dataset")] if "dataset" in df.columns else []
-    return model.transform(df).select("person_id", probability.alias("predict_prob"), *extra)
+    label = F.col(R.LABEL) if R.LABEL in df.columns else F.lit(None)
+    extra = [F.col("dataset")] if "dataset" in df.columns else []
+    return model.transform(df).select(
+        "person_id", probability.alias("predict_prob"), label.cast("int").alias("true_label"), *extra
+    )
 
 
 def score_datasets(model, datasets: dict[str, DataFrame]) -> DataFrame:
-    """Score several feature tables in one job, told apart by ``dataset``."""
-    tagged = [df.withColumn("dataset", F.lit(name)) for name, df in datasets.items()]
-    return score(model, reduce(DataFrame.unionByName, tagged))
+    """Score several feature tables in one job, told apart by ``dataset``.
+
+    Of each table the model's inputs, the person and the label are taken, so labelled
+    and unlabelled tables go together, whatever else they carry.
+    """
+    inputs = model.stages[0].getInputCols()
+
+    def tagged(name: str, df: DataFrame) -> DataFrame:
+        label = F.col(R.LABEL) if R.LABEL in df.columns else F.lit(None)
+        return df.select("person_id", *inputs, label.cast("int").alias(R.LABEL), F.lit(name).alias("dataset"))
+
+    return score(model, reduce(DataFrame.unionByName, (tagged(n, df) for n, df in datasets.items())))
 
 
 def save(model: PipelineModel, path: str) -> None:

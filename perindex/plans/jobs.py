@@ -19,16 +19,24 @@ from perindex.sources.writers import write_features, write_predictions
 
 
 def load_inputs(
-    spark: SparkSession, folder: str, concept_sets: str, fmt: str = "parquet"
+    spark: SparkSession,
+    folder: str,
+    concept_sets: str,
+    fmt: str = "parquet",
+    may_lack: tuple[str, ...] = (),
 ) -> dict[str, DataFrame]:
-    """The event tables, visits, cohort and concept sets of one data folder."""
+    """The event tables, visits, cohort and concept sets of one data folder.
+
+    An absent path is an error. ``visits`` and ``cohort`` are empty tables instead where
+    ``may_lack`` names them.
+    """
     tables = read_omop(spark, folder, fmt)
     for name in ("visits", "cohort"):
         path = f"{folder}/{name}.{fmt}"
         tables[name] = (
-            read_table(spark, path, schemas.TABLES[name], fmt)
-            if path_exists(spark, path)
-            else empty_frame(spark, schemas.TABLES[name])
+            empty_frame(spark, schemas.TABLES[name])
+            if name in may_lack and not path_exists(spark, path)
+            else read_table(spark, path, schemas.TABLES[name], fmt)
         )
     tables["concept_set_members"] = read_table(
         spark, concept_sets, schemas.CONCEPT_SET_MEMBERS, fmt
@@ -77,7 +85,8 @@ def infer(
 ) -> DataFrame:
     """Score the datasets, write the predictions, and return the metric set of each.
 
-    The scores are stored once; predictions and metrics both read them from there.
+    The scores are stored once; predictions and metrics both read them from there. Persons
+    without a label get predictions; a dataset without any has no row of metrics.
     """
     scored = materialize(M.score_datasets(M.load(model_path), datasets), "scores")
     write_predictions(scored, output)

@@ -14,20 +14,28 @@ def _typed(column: Column, source: DataType, target: DataType) -> Column:
     """``column`` as ``target``; text that does not parse becomes null.
 
     Ids written as ``76.0`` are whole numbers: the decimal step keeps every digit
-    of a 64-bit id, which a double would not.
+    of a 64-bit id, which a double would not. With any other fraction an id is null,
+    never cut to another one.
     """
     if source == target:
         return column
-    if isinstance(target, (LongType, IntegerType)) and not isinstance(source, DoubleType):
-        return F.coalesce(
-            column.try_cast(target), column.try_cast("decimal(38,6)").try_cast(target)
-        )
+    if isinstance(target, (LongType, IntegerType)):
+        if isinstance(source, (LongType, IntegerType)):
+            return column.try_cast(target)
+        exact = column if isinstance(source, DoubleType) else column.try_cast("decimal(38,6)")
+        return F.when(exact == F.floor(exact), exact.try_cast(target))
     return column.try_cast(target)
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """Pick the contract's columns by name and cast them; absent ones are null."""
+    """Pick the contract's columns by name and cast them.
+
+    An absent key column is an error that names it; any other absent column is null.
+    """
     present = {f.name: f.dataType for f in df.schema.fields}
+    missing = [name for name in schemas.keys_of(schema) if name not in present]
+    if missing:
+        raise ValueError(f"the table lacks {', '.join(missing)}; it has {', '.join(present)}")
     return df.select(
         *[
             _typed(F.col(f.name), present[f.name], f.dataType).alias(f.name)

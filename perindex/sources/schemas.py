@@ -87,3 +87,23 @@ TABLES = {
     "index_range": INDEX_RANGE,
     "predictions": PREDICTIONS,
 }
+
+# Columns without which a table says nothing. The others may be absent and are null then.
+KEYS = {
+    "person": ["person_id"],
+    "concept_set_members": ["concept_id"],
+    "drug_exposure": ["person_id", "drug_concept_id", "drug_exposure_start_date"],
+    "measurement": ["person_id", "measurement_concept_id", "measurement_date"],
+    "observation": ["person_id", "observation_concept_id", "observation_date"],
+    "condition_occurrence": ["person_id", "visit_occurrence_id", "condition_concept_id"],
+    "procedure_occurrence": ["person_id", "procedure_concept_id", "procedure_date"],
+    "visits": ["person_id", "visit_occurrence_id", "visit_start_date"],
+    "cohort": ["person_id", "covid_index"],
+    "index_range": ["person_id", "index_start_date", "index_end_date"],
+    "predictions": ["person_id"],
+}
+
+
+def keys_of(schema: StructType) -> list[str]:
+    """The key columns of a contract."""
+    return next((KEYS[name] for name, known in TABLES.items() if known == schema), [])

@@ -8,6 +8,7 @@ from perindex import registry as R
 from perindex.ml import model as M
 from perindex.ml.explain import top_factors
 from perindex.ml.split import assign_split, random_split
+from perindex.plans import jobs
 
 COLUMNS = ["age", "copd", "obesity"]
 
@@ -40,10 +41,16 @@ def test_fit_save_load_score(people, tmp_path):
     unlabelled = people.drop(R.LABEL).where("person_id < 10")
     scored = M.score_datasets(M.load(str(tmp_path / "m")), {"a": unlabelled, "b": unlabelled})
     rows = scored.collect()
-    assert len(rows) == 20 and scored.columns == ["person_id", "predict_prob", "dataset"]
+    assert len(rows) == 20 and scored.columns == ["person_id", "predict_prob", "true_label", "dataset"]
     assert all(0 <= r.predict_prob <= 1 for r in rows)
     again = {r.person_id: r.predict_prob for r in M.score(model, unlabelled).collect()}
     assert all(again[r.person_id] == r.predict_prob for r in rows)
+    for withheld in ([], ["a"], ["a", "b"]):
+        tables = {n: people.drop(R.LABEL) if n in withheld else people.withColumn("more", F.lit(n)) for n in ("a", "b")}
+        metrics = jobs.infer(tables, str(tmp_path / "m"), str(tmp_path / "p")).collect()
+        assert {r.dataset: r.n for r in metrics} == {n: 600 for n in ("a", "b") if n not in withheld}
+        written = people.sparkSession.read.parquet(str(tmp_path / "p"))
+        assert {(r.dataset, r["count"]) for r in written.groupBy("dataset").count().collect()} == {("a", 600), ("b", 600)}
 
 
 def test_vectorize_keeps_the_order(people):

@@ -25,6 +25,24 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     assert rows[1].pasc_code_prior_four_weeks is None
 
 
+def test_a_fraction_never_makes_another_id(spark):
+    for kind in ("string", "double", "decimal(10,2)"):
+        frame = spark.createDataFrame([("76.0",), ("76.9",), ("7",)], "person_id string")
+        frame = frame.selectExpr(f"cast(person_id as {kind}) as person_id")
+        rows = readers.conform(frame, schemas.PERSON).collect()
+        assert [r.person_id for r in rows] == [76, None, 7]
+
+
+def test_key_columns_and_paths_must_exist(spark, tmp_path):
+    with pytest.raises(ValueError, match="covid_index"):
+        readers.conform(spark.range(1).selectExpr("id as person_id"), schemas.COHORT)
+    for name in ("person", "drug_exposure", "measurement", "observation", "condition_occurrence",
+                 "procedure_occurrence", "visits"):
+        (tmp_path / f"{name}.csv").write_text(",".join(schemas.TABLES[name].names) + "\n")
+    with pytest.raises(Exception, match="cohort"):
+        load_inputs(spark, str(tmp_path), str(tmp_path / "sets.csv"), "csv")
+
+
 def test_concept_ids_written_as_text(spark, tmp_path):
     path = tmp_path / "sets.csv"
     path.write_text("codeset_id,concept_id,concept_name\n761556952,1,\"a, b\"\nx,2.0,c\n")
@@ -40,7 +58,7 @@ def test_load_inputs(spark, tmp_path):
         header = ",".join(schemas.TABLES[name].names)
         (tmp_path / f"{name}.csv").write_text(header + "\n1" + "," * header.count(",") + "\n")
     (tmp_path / "sets.csv").write_text("codeset_id,concept_id\n1,2\n")
-    tables = load_inputs(spark, str(tmp_path), str(tmp_path / "sets.csv"), "csv")
+    tables = load_inputs(spark, str(tmp_path), str(tmp_path / "sets.csv"), "csv", may_lack=("visits",))
     assert all(df.schema == schemas.TABLES[name] for name, df in tables.items())
     assert tables["visits"].count() == 0 and tables["cohort"].first().person_id == 1
 
