@@ -4,9 +4,9 @@ Documents become pieces of at most ``capacity`` tokens. The pieces are dealt int
 of bounded size by a hash, so any source or group of copies spreads. A block is packed
 best fit first; then items move and change places between its underfull bins, always so
 that the sum of squared fill grows, until bins run empty. Bins that stay loosely filled
-are taken apart again, and the loose pieces of several blocks form the blocks of the next
-level. A level has a sixteenth of the blocks of the one before, so nothing ever meets in
-one place but a few loose bins of each block below it.
+are taken apart again, and all loose pieces are dealt into the blocks of the next level.
+Their number follows the count of loose pieces, so a block of any level is as bounded as
+those of the first. The levels end with one block, or when one saves hardly a bin.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from perindex.llm.text_batches import map_columns, whole_text
 from perindex.llm.word_ids import WordIds
 from perindex.session import materialize
 
-#: Pieces in a block, on average, and blocks that pass their loose bins to one of the next level.
-BLOCK_PIECES, FAN_IN = 4096, 16
+#: Pieces in a block, on average.
+BLOCK_PIECES = 4096
+#: The levels go on while one lowers the number of loose bins by this share, or more.
+SAVES = 1 / 1024
 #: A bin is loose if this share of it, or more, is empty.
 LOOSE = 1 / 16
 #: Pairs of bins that the local search looks at for each bin it tries to empty.
@@ -172,39 +174,61 @@ def pack_block(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return frame.assign(sequence_id=number, offset=offset, loose=loose)
 
 
-def _pack_level(pieces: DataFrame, blocks: int, level: int, capacity: int) -> DataFrame:
-    names = [c for c in pieces.columns if c != "block"]
+def _pack_level(pieces: DataFrame, blocks: int, before: int, level: int, capacity: int) -> DataFrame:
+    names = [c for c in pieces.columns if c not in ("copy", "block")]
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         block = int(frame["block"].iloc[0])
         packed = pack_block(frame, capacity)
-        # Level, block and bin each have bits of their own, so numbers never meet.
-        packed["sequence_id"] += (level << 58) + (block << 24)
-        return packed[[*names, "sequence_id", "offset", "loose"]]
+        # The blocks of all levels are numbered on, and a bin has bits of its own, so numbers never meet.
+        packed["sequence_id"] += (before + block) << 24
+        return packed[[*names, "copy", "sequence_id", "offset", "loose"]]
 
-    block = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(blocks))
+    # The level is hashed too: at an equal number of blocks, other pieces meet.
+    block = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "copy", F.lit(level)), F.lit(blocks))
     return (
         pieces.withColumn("block", block)
         .groupBy("block")
-        .applyInPandas(pack, f"{PACKED}, loose boolean")
+        .applyInPandas(pack, f"{PIECES}, copy long, sequence_id long, offset long, loose boolean")
     )
 
 
+def _numbered(pieces: DataFrame, chunk: int = BLOCK_PIECES) -> DataFrame:
+    """``pieces`` with the number ``copy`` of each among its equals, so that repeated rows spread as others do."""
+    names = [F.col(c) for c in pieces.columns]
+    counted = pieces.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    chunked = counted.select(*names, "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {chunk}"))).alias("c"))
+    last = F.least(F.col("n") - 1, F.col("c") * chunk + chunk - 1)
+    return chunked.select(*names, F.explode(F.sequence(F.col("c") * chunk, last)).alias("copy"))
+
+
 def pack(pieces: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """Give every piece a sequence and its place there.
 
-    ``pieces`` has the columns of ``token_pieces``. An empty table gives an empty result; equal
-    pieces are told apart by their place in the block, so repeated rows are packed each.
+    ``pieces`` has the columns of ``token_pieces``. An empty table gives an empty result; repeated
+    rows are packed each. A level that does not lower the number of bins counts for nothing: the
+    bins of the level before stay.
     """
-    blocks, level, done = max(1, -(-pieces.count() // block_pieces)), 0, None
+    count, pieces = pieces.count(), _numbered(pieces)
+    level, before, loose, open_, done = 0, 0, None, None, None
     while True:
-        packed = materialize(_pack_level(pieces, blocks, level, capacity), f"packed{level}")
-        closed = packed if blocks == 1 else packed.filter(~F.col("loose"))
+        blocks = max(1, -(-count // block_pieces))
+        packed = materialize(_pack_level(pieces, blocks, before, level, capacity), f"packed{level}")
+        # A bin has one piece at offset 0.
+        first = F.col("offset") == 0
+        bins, loose_bins, count = packed.agg(
+            F.count_if(first), F.count_if(first & F.col("loose")), F.count_if("loose")
+        ).first()
+        if loose is not None and bins >= loose:
+            return done.unionByName(open_).drop("loose", "copy")
+        saved = bins if loose is None else loose - bins
+        if blocks == 1 or not count or saved < SAVES * bins:
+            done = packed if done is None else done.unionByName(packed)
+            return done.drop("loose", "copy")
+        closed, open_, loose = packed.filter(~F.col("loose")), packed.filter("loose"), loose_bins
         done = closed if done is None else done.unionByName(closed)
-        if blocks == 1:
-            return done.drop("loose")
-        pieces = packed.filter("loose").drop("loose", "sequence_id", "offset")
-        blocks, level = -(-blocks // FAN_IN), level + 1
+        pieces = open_.drop("loose", "sequence_id", "offset")
+        level, before = level + 1, before + blocks
 
 
 def pack_documents(

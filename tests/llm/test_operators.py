@@ -87,6 +87,43 @@ def test_packing_places_every_piece_once(docs):
     assert packing.pack_documents(docs.limit(0), WORD, 64).count() == 0
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_no_packing_block_outgrows_its_bound(spark, monkeypatch, repeated):
+    """Pieces of over half a sequence are loose on every level, and meet in bounded blocks all the same."""
+    count, bound, largest, level = 3000, 100, [], packing._pack_level
+
+    def watched(pieces, *rest):
+        packed = level(pieces, *rest)
+        blocks = packed.withColumn("block", packed.sequence_id.bitwiseAND(-(1 << 24))).groupBy("block").count()
+        largest.append(blocks.agg({"count": "max"}).first()[0])
+        return packed
+
+    monkeypatch.setattr(packing, "_pack_level", watched)
+    key = "7" if repeated else "id"
+    pieces = spark.range(count).selectExpr(
+        f"{key} as doc_id", "0 as piece", "0L as start", f"2100L + {key} % 1500 as length", f"{key} as ids_crc32"
+    ).selectExpr("cast(doc_id as long) doc_id", "piece", "start", "length", "cast(ids_crc32 as long) ids_crc32")
+    rows = packing.pack(pieces, 4096, block_pieces=bound).collect()
+    assert max(largest) <= 2 * bound and len(largest) > 1
+    assert len({r["sequence_id"] for r in rows}) == len(rows) == count
+    assert all(r["offset"] == 0 for r in rows)
+
+
+def test_loose_bins_of_all_blocks_are_packed_again(spark):
+    rnd = random.Random(6)
+    lengths = [rnd.randint(600, 3500) for _ in range(2500)]
+    rows = [(i, 0, 0, n, i) for i, n in enumerate(lengths)]
+    packed = packing.pack(spark.createDataFrame(rows, packing.PIECES), 4096, block_pieces=200).collect()
+    sequences = {}
+    for r in packed:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in sequences.values():
+        ends = [0, *(a + n for a, n in sorted(places))]
+        assert [a for a, _ in sorted(places)] == ends[:-1] and ends[-1] <= 4096
+    assert sorted(r["doc_id"] for r in packed) == list(range(2500))
+    assert len(sequences) <= 1.03 * len(packing.best_fit(lengths, 4096))
+
+
 def test_license_base_equals_brute_force(spark):
     rnd = random.Random(2)
     words = "under the MIT license Apache License, Version 2.0 CC BY-NC cc by nc and é 日 x".split(" ")
