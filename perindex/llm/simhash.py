@@ -8,6 +8,10 @@ differences on the way down and drops a whole run once they are too many.
 
 Equal fingerprints are one node from the start. A group hands on a forest of links, never all
 its pairs; the forests of all groups join to components by repeated minimum labels.
+
+A group that stays large when it is dealt again is cut into blocks. Each block is searched for
+itself; then all that is not in the group's largest component is held against the whole group,
+block by block, so that no task has more than two blocks.
 """
 
 from __future__ import annotations
@@ -112,28 +116,58 @@ class GrayIndex:
             yield query, node
 
 
-def forest(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the values of a group just as all their pairs would: value and its root."""
-    index = GrayIndex(values)
-    parent = np.arange(len(values))
+class Trees:
+    """Places joined to trees, whose roots are their smallest places."""
 
-    def roots(places: np.ndarray) -> np.ndarray:
+    def __init__(self, size: int) -> None:
+        self.parent = np.arange(size)
+
+    def roots(self, places: np.ndarray) -> np.ndarray:
         while True:
-            up = parent[places]
+            up = self.parent[places]
             if (up == places).all():
                 return places
-            parent[places] = parent[up]
+            self.parent[places] = self.parent[up]
             places = up
 
-    for a, b in index.links(distance):
-        a, b = roots(a), roots(b)
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = self.roots(a), self.roots(b)
         while len(a := a[(apart := a != b)]):
             b = b[apart]
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-            a, b = roots(a), roots(b)
-    top = roots(np.arange(len(values)))
-    linked = top != np.arange(len(values))
-    return index.values[linked], index.values[top[linked]]
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+            a, b = self.roots(a), self.roots(b)
+
+    def links(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each place that is no root, and of its root."""
+        top = self.roots(np.arange(len(values)))
+        linked = top != np.arange(len(values))
+        return values[linked], values[top[linked]]
+
+
+def forest(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the values of a group just as all their pairs would: value and its root."""
+    index, trees = GrayIndex(values), Trees(len(values))
+    for a, b in index.links(distance):
+        trees.join(a, b)
+    return trees.links(index.values)
+
+
+def forest_between(
+    asking: tuple[np.ndarray, np.ndarray], asked: tuple[np.ndarray, np.ndarray], distance: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links between labels that all near pairs of an asking and an asked value would join.
+
+    Both sides are values and their labels; pairs of one label are known already.
+    """
+    labels, places = np.unique(np.concatenate([asking[1], asked[1]]), return_inverse=True)
+    one, other = places[: len(asking[0])], places[len(asking[0]) :]
+    trees = Trees(len(labels))
+    for at in range(0, len(one), QUERIES):
+        for to in range(0, len(other), GROUP):
+            apart = np.bitwise_count(asking[0][at : at + QUERIES, None] ^ asked[0][None, to : to + GROUP])
+            i, j = np.nonzero(apart <= distance)
+            trees.join(one[at + i], other[to + j])
+    return trees.links(labels)
 
 
 def bands(bits: list[int], count: int) -> list[list[int]]:
@@ -168,33 +202,90 @@ def _forests(groups: DataFrame, key: list[str], distance: int, rows: int) -> Dat
     return bucketed.groupBy("bucket").applyInPandas(join, "a long, b long")
 
 
+def _sizes(groups: DataFrame, key: list[str], group: int, name: str) -> tuple[DataFrame, int, int]:
+    """The groups of two and more with their ``size``; members of those up to ``group`` in all, and of larger ones."""
+    sizes = materialize(groups.groupBy(*key).agg(F.count("hash").alias("size")).filter("size > 1"), name)
+    small, large = sizes.agg(*(
+        F.coalesce(F.sum(F.when(side, F.col("size"))), F.lit(0)) for side in (F.col("size") <= group, F.col("size") > group)
+    )).first()
+    return sizes, small, large
+
+
+def _between(pairs: DataFrame, key: list[str], distance: int) -> DataFrame:
+    """The links between labels that the near pairs of each two blocks join."""
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        values = frame["hash"].to_numpy().astype(np.int64).view(np.uint64)
+        labels, asks = frame["label"].to_numpy().astype(np.int64), frame["asks"].to_numpy().astype(bool)
+        a, b = forest_between((values[asks], labels[asks]), (values[~asks], labels[~asks]), distance)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return pairs.groupBy(*key).applyInPandas(join, "a long, b long")
+
+
+def _block_links(groups: DataFrame, key: list[str], found: DataFrame, distance: int, group: int, rows: int) -> DataFrame:
+    """``found`` and the links of groups that are too large for a task: of ``hash``, ``key`` and ``size``.
+
+    Blocks of each group, cut by a hash, are searched for themselves first, which joins most of a
+    family of near copies. What is outside a group's largest component then asks all of the group:
+    each two blocks, of asking and of asked values, are a task's.
+    """
+
+    def blocks(count: Column) -> Column:
+        return F.ceil(count / F.lit(group)).cast("int")
+
+    groups = materialize(groups, "large_groups")
+    dealt = groups.withColumn("block", F.pmod(F.xxhash64("hash"), blocks(F.col("size"))).cast("int"))
+    found = materialize(found.unionByName(_forests(dealt, [*key, "block"], distance, rows)), "found")
+    labels = components(found)
+    members = groups.join(labels, "hash", "left").withColumn("label", F.coalesce("label", "hash"))
+    members = materialize(members, "members")
+    counts = members.groupBy(*key, "label").agg(F.count("hash").alias("n"))
+    main = counts.groupBy(*key).agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others")
+    ).filter("others > 0")
+    members = members.join(main, key)
+
+    def side(rows: DataFrame, asks: bool) -> DataFrame:
+        own, other = ("asking", "asked") if asks else ("asked", "asking")
+        size = {"asking": blocks(F.col("others")), "asked": blocks(F.col("size"))}
+        return rows.withColumn(own, F.pmod(F.xxhash64("hash", F.lit(1)), size[own]).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), size[other] - 1))
+        ).select(*key, "asking", "asked", "hash", "label", F.lit(asks).alias("asks"))
+
+    pairs = side(members.filter("label <> main"), True).unionByName(side(members, False))
+    return found.unionByName(_between(pairs, [*key, "asking", "asked"], distance))
+
+
 def links(nodes: DataFrame, distance: int = 4, group: int = GROUP) -> DataFrame:
     """Links ``(a, b)`` whose components are those of all pairs of ``nodes`` within ``distance``.
 
     ``nodes`` has distinct values ``hash``. Groups of more than ``group`` members are dealt
     again: who agrees on one band and differs in ``distance`` other bits at most agrees on
-    a band of the rest too.
+    a band of the rest too. Groups that are still larger are cut into blocks of about ``group``.
     """
     count = distance + 1
     parts = bands(list(range(BITS)), count)
-    first = banded(nodes, [], parts, ("band", "bits"))
-    sizes = first.groupBy("band", "bits").count().filter(F.col("count") > 1)
-    sizes = materialize(sizes, "band_sizes")
-    small = first.join(sizes.filter(F.col("count") <= group).drop("count"), ["band", "bits"])
-    n_small, n_large = sizes.agg(*(
-        F.coalesce(F.sum(F.when(side, F.col("count"))), F.lit(0)) for side in (F.col("count") <= group, F.col("count") > group)
-    )).first()
-    found = _forests(small, ["band", "bits"], distance, n_small)
+    first, key = banded(nodes, [], parts, ("band", "bits")), ["band", "bits"]
+    sizes, n_small, n_large = _sizes(first, key, group, "band_sizes")
+    small = first.join(sizes.filter(F.col("size") <= group).drop("size"), key)
+    found = _forests(small, key, distance, n_small)
     if not n_large:
         return found
-    large = sizes.filter(F.col("count") > group).drop("count")
+    large = sizes.filter(F.col("size") > group).drop("size")
     again = None
     for k, part in enumerate(parts):
         rest = [b for b in range(BITS) if b not in part]
-        mine = first.filter(F.col("band") == k).join(large.filter(F.col("band") == k), ["band", "bits"])
-        dealt = banded(mine, ["band", "bits"], bands(rest, count), ("band2", "bits2"))
+        mine = first.filter(F.col("band") == k).join(large.filter(F.col("band") == k), key)
+        dealt = banded(mine, key, bands(rest, count), ("band2", "bits2"))
         again = dealt if again is None else again.unionByName(dealt)
-    return found.unionByName(_forests(again, ["band", "bits", "band2", "bits2"], distance, count * n_large))
+    key = [*key, "band2", "bits2"]
+    sizes, n_small, n_large = _sizes(again, key, group, "band2_sizes")
+    small = again.join(sizes.filter(F.col("size") <= group).drop("size"), key)
+    found = found.unionByName(_forests(small, key, distance, n_small))
+    if not n_large:
+        return found
+    return _block_links(again.join(sizes.filter(F.col("size") > group), key), key, found, distance, group, n_large)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -193,6 +193,35 @@ def test_large_groups_are_dealt_again():
     assert pairs == sum((np.bitwise_count(values[i + 1 :] ^ v) <= 4).sum() for i, v in enumerate(values))
 
 
+def test_no_group_of_near_copies_outgrows_its_bound(spark, monkeypatch):
+    """A family that agrees on all bands of the second deal, a chain and loners, against all pairs."""
+    rng, bound, largest, forests = np.random.default_rng(5), 64, [], simhash._forests
+
+    def watched(groups, key, *rest):
+        sizes = groups.groupBy(*key).count().agg({"count": "max"}).first()[0]
+        largest.append(sizes or 0)
+        return forests(groups, key, *rest)
+
+    monkeypatch.setattr(simhash, "_forests", watched)
+    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    low = np.array([sum(1 << int(b) for b in rng.choice(24, 3, replace=False)) for _ in range(400)], np.uint64)
+    far = np.array([sum(1 << int(b) for b in rng.choice(26, 11, replace=False)) for _ in range(250)], np.uint64)
+    chain = np.bitwise_xor.accumulate(one[:20]) ^ one[40]
+    loners = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    values = np.unique(np.concatenate([low, far, chain, loners]))
+    label, apart = np.arange(len(values)), np.bitwise_count(values[:, None] ^ values[None, :]) <= 4
+    while True:
+        after = np.where(apart, label[None, :], len(values)).min(axis=1)
+        if (after == label).all():
+            break
+        label = after
+    nodes = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "hash long")
+    got = {r["hash"]: r["label"] for r in simhash.components(simhash.links(nodes, 4, group=bound)).collect()}
+    names = [got.get(int(v), int(v)) for v in values.view(np.int64)]
+    assert len(set(zip(names, label.tolist(), strict=True))) == len(set(names)) == len(set(label.tolist())) > 50
+    assert max(largest) <= 2 * bound
+
+
 def test_chat_collapse(spark):
     turns = ["hi", "hello", "more", None]
     logs = [(1, i, "user", t) for i, t in enumerate(turns[:2])] + [(2, i, "user", t) for i, t in enumerate(turns)]
