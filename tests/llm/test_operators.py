@@ -272,6 +272,35 @@ def test_language_is_learned_and_held_out(spark):
     assert language_id.fit(tables.limit(0)) is None
 
 
+def test_long_texts_of_large_alphabets_keep_their_language():
+    rng = np.random.default_rng(9)
+    # Two languages of 3,000 letters each, half of them in common, with their own letter pairs.
+    alphabets = {k: rng.permutation(np.arange(0x4E00 + at, 0x4E00 + at + 3000)) for k, at in (("aa", 0), ("bb", 1500))}
+
+    def text(lang, size):
+        return "".join(map(chr, alphabets[lang][(3000 * rng.random(size) ** 2).astype(int)]))
+
+    labels = ["aa", "bb"] * 30
+    model = language_id.solve(labels, [language_id.present(text(x, 2000)) for x in labels])
+    made = ["aa", "bb"] * 3
+    names, scores = language_id.languages([text(x, 300_000) for x in made], model)
+    assert names == made
+    one, other = (language_id.present(text(x, 300_000)) for x in ("aa", "bb"))
+    assert len(np.intersect1d(one, other)) < 0.5 * len(one)
+
+
+def test_every_language_is_learned(spark):
+    names = [f"l{k:03}" for k in range(230)]
+    rows = [(4 * i + j, " ".join(chr(0x4E00 + 20 * k + (i + m) % 20) for m in range(12)), x)
+            for k, x in enumerate(names) for j in range(3) for i in [k]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    learned = {r["lang"] for r in docs.filter(~language_id.held_out()).collect()}
+    assert len(learned) > 200 and set(model.languages) == learned
+    texts = {x: t for _, t, x in rows if x in learned}
+    assert language_id.languages(list(texts.values()), model)[0] == list(texts)
+
+
 def test_quality_counts_and_rules(spark):
     text = "a b c a b c\nx # $\nx # $\n\n"
     counts = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), quality_rules.text_counts(text), strict=False))
