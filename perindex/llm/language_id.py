@@ -179,18 +179,24 @@ def languages(texts: list[str | None], model: Model | None) -> tuple[list[str],
 
 
 def kept_documents(docs: DataFrame, least: float = LEAST, text: str = "text") -> DataFrame:
-    """``docs`` without texts that have no letter or that no language claims; all columns stay."""
+    """``docs`` without texts that have no letter or that no language claims; all columns stay.
+
+    If no row that is not held out has a label, nothing is learned, and every text with a letter stays.
+    """
     model = fit(docs)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("lang_pred", "score"), languages(texts.tolist(), model), strict=True)))
+    @F.pandas_udf("boolean")
+    def claimed(texts: pd.Series) -> pd.Series:
+        if model is None:
+            return pd.Series([bool(t) and has_letter(t) for t in texts], dtype=bool)
+        found = zip(*languages(texts.tolist(), model), strict=True)
+        return pd.Series([name != UNKNOWN and score >= least for name, score in found], dtype=bool)
 
     marked = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
-        predicted(F.col(f"`{text}`").cast("string")).alias("found"),
+        claimed(F.col(f"`{text}`").cast("string")).alias("claimed"),
     )
-    return marked.filter((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least)).select("doc.*")
+    return marked.filter("claimed").select("doc.*")
 
 
 def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

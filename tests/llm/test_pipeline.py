@@ -20,6 +20,16 @@ def test_stages_keep_columns_and_narrow_down(spark):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_an_unlabelled_corpus_stays(spark):
+    texts = {1: "clean words", 2: "12 !", 3: None, 4: "日本", 5: ""}
+    docs = spark.createDataFrame(
+        [(i, t, None, "s", 0) for i, t in texts.items()],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    kept = corpus_pipeline.language(spark, docs, FOLDER)
+    assert kept.dtypes == docs.dtypes and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
 def test_odd_rows_pass_through(spark):
     docs = spark.createDataFrame(
         [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "word " * 3, "en", "s", 15)],
