@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from perindex.llm import (
     conversations,
+    fill_in_middle,
     language_id,
     license_scan,
     packing,
@@ -95,3 +96,11 @@ def op9_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(read(spark, folder, "documents"))
+
+
+@register
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle.digests(read(spark, folder, "documents"))
+
+
+ORACLES["op12_fill_in_middle"] = fill_in_middle.ORACLE
