@@ -20,6 +20,7 @@ from perindex.llm import (
     prefix_bpe,
     quality_rules,
     simhash,
+    turn_repair,
 )
 from perindex.session import materialize
 
@@ -104,3 +105,11 @@ def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op12_fill_in_middle"] = fill_in_middle.ORACLE
+
+
+@register
+def op13_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.repair_damaged(read(spark, folder, "conversations"))
+
+
+ORACLES["op13_structure_repair"] = turn_repair.ORACLE
