@@ -16,6 +16,7 @@ from perindex.llm import (
     packing,
     pii,
     piece_counts,
+    pivot_distance,
     posting_lists,
     prefix_bpe,
     quality_rules,
@@ -99,6 +100,14 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(read(spark, folder, "documents"))
 
 
+@register
+def op11_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return pivot_distance.search(read(spark, folder, "embeddings"), every=20, k=20, scale=64.0)
+
+
+ORACLES["op11_exact_top_k"] = pivot_distance.ORACLE
+
+
 @register
 def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fill_in_middle.digests(read(spark, folder, "documents"))
