@@ -21,7 +21,7 @@ from perindex.llm.text_batches import whole_text
 
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 #: Bytes of text that are indexed at once; a longer text is indexed alone.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 1 << 20
 FORMED = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string"
 
 
