@@ -17,9 +17,12 @@ from perindex.functions.periods import period_of
 from perindex.operators.index_range import index_interval
 
 
-def daily(events: DataFrame) -> DataFrame:
-    """Total, count and minimum of a person's values of a feature on one day."""
-    return events.groupBy("person_id", "event_date", "feature").agg(
+def daily(events: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Total, count and minimum of a person's values of a feature on one day.
+
+    ``keys`` are columns to fold by beside them.
+    """
+    return events.groupBy("person_id", "event_date", "feature", *keys).agg(
         F.sum("value").alias("total"),
         F.count(F.lit(1)).alias("n"),
         F.min("value").alias("low"),

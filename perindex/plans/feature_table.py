@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 from perindex import registry as R
 from perindex.functions.columns import sql_list
 from perindex.functions.periods import period_of, period_or_during
-from perindex.operators.concepts import all_small
+from perindex.operators.concepts import all_small, concept_lookup
 from perindex.operators.events import allowed, daily
 from perindex.operators.index_range import index_interval, index_range
-from perindex.plans import diagnoses, labs, medications, procedures, smoking, utilization
+from perindex.operators.lookup import lookup_join
+from perindex.plans import labs, medications, utilization
 from perindex.plans.demographics import demographics
 from perindex.plans.measurements import measurement_points
 from perindex.registry import Registry
 from perindex.session import materialize
 
+SMOKER = "smoker"
 EVENT_COLUMNS = (
     R.VITAL_COLUMNS
     + R.LAB_COLUMNS
@@ -29,47 +31,77 @@ EVENT_COLUMNS = (
 )
 
 
-def _undated(events: DataFrame) -> DataFrame:
-    return events.select(
-        "person_id",
-        F.lit(None).cast("date").alias("event_date"),
+# Tag of the rows that say that a visit has an ICU concept; no feature has such a name.
+ICU = "icu visit"
+
+
+def _points(
+    events: DataFrame, code: str, lookup: DataFrame, small: bool, date: str | None = None
+) -> DataFrame:
+    """Point events and ICU evidence of a table, from one scan and one lookup of its codes.
+
+    Evidence is about a visit whoever has it, so it carries the visit's id and
+    neither person nor date.
+    """
+    rows = lookup_join(
+        events, lookup, code, "concept_id", small, spread_by=("person_id", "visit_occurrence_id")
+    ).where(f"feature <> '{ICU}' or visit_occurrence_id is not null")
+    return rows.selectExpr(
+        f"if(feature = '{ICU}', null, person_id) as person_id",
+        f"if(feature = '{ICU}', null, {date or 'cast(null as date)'}) as event_date",
         "feature",
-        F.lit(None).cast("double").alias("value"),
+        "cast(null as double) as value",
+        f"if(feature = '{ICU}', visit_occurrence_id, null) as icu_visit",
     )
 
 
-def event_features(
-    tables: dict[str, DataFrame], index: DataFrame, registry: Registry, small: bool | None = None
+def tagged_days(
+    tables: dict[str, DataFrame], registry: Registry, small: bool | None = None
 ) -> DataFrame:
-    """All event-based features of a person in one pass.
+    """All point events folded by day, and the distinct ids of the visits with an ICU concept.
 
-    Every family is a stream of point events, so they are stacked, folded by day,
-    joined with the index once and pivoted once, instead of one index join, one
-    pivot and one assembly join per family.
+    Every event table is scanned once: a code's lookup row says whether it feeds a
+    feature or is ICU evidence. The evidence has the tag ``ICU`` and its visit in
+    ``icu_visit``, which is null elsewhere.
     """
     concepts = tables["concept_set_members"]
     if small is None:
         small = all_small(concepts, registry)
-    smokers = smoking.smoking_status(
-        tables["observation"], concepts, registry.smoking, small
-    ).withColumn("feature", F.lit("smoker"))
+    icu = concept_lookup(concepts, registry.icu).select("concept_id").distinct()
+    icu = icu.withColumn("feature", F.lit(ICU))
+
+    def with_icu(group) -> DataFrame:
+        return concept_lookup(concepts, group).unionByName(icu)
+
+    smokers = concept_lookup(concepts, registry.smoking).withColumn("feature", F.lit(SMOKER))
+    elsewhere = F.lit(None).cast("bigint").alias("icu_visit")
     points = [
-        measurement_points(tables["measurement"], concepts, registry, small),
+        measurement_points(tables["measurement"], concepts, registry, small).select("*", elsewhere),
         medications.medication_points(
             tables["drug_exposure"], concepts, registry.medications, small
+        ).select("*", elsewhere),
+        _points(
+            tables["procedure_occurrence"], "procedure_concept_id", with_icu(registry.procedures),
+            small, "procedure_date",
         ),
-        procedures.procedure_points(
-            tables["procedure_occurrence"], concepts, registry.procedures, small
-        ),
-        _undated(
-            diagnoses.diagnosis_events(
-                tables["condition_occurrence"], concepts, registry.diagnoses, small
-            )
+        _points(
+            tables["condition_occurrence"], "condition_concept_id", with_icu(registry.diagnoses), small
         ),
-        _undated(smokers),
+        _points(tables["observation"], "observation_concept_id", smokers.unionByName(icu), small),
     ]
-    days = daily(reduce(DataFrame.unionByName, points))
-    return _pivot(days, index, registry)
+    return daily(reduce(DataFrame.unionByName, points), ("icu_visit",))
+
+
+def event_features(
+    tables: dict[str, DataFrame], index: DataFrame, registry: Registry, small: bool | None = None
+) -> DataFrame:
+    """All event-based features of a person in one pass.
+
+    Every family is a stream of point events, so they are stacked, folded by day,
+    joined with the index once and pivoted once, instead of one index join, one
+    pivot and one assembly join per family.
+    """
+    return _pivot(tagged_days(tables, registry, small), index, registry)
 
 
 def _family(registry: Registry) -> Column:
@@ -93,7 +125,8 @@ def _pivot(days: DataFrame, index: DataFrame, registry: Registry) -> DataFrame:
         .otherwise(period_of(*interval))
     )
     rows = (
-        days.withColumn("family", _family(registry))
+        days.where(f"feature <> '{ICU}'")
+        .withColumn("family", _family(registry))
         .join(index_interval(index), "person_id", "left")
         .withColumn("period", period)
         .where(f"period is not null and (family <> 'medication' or {allowed(registry.medications.periods)})")
@@ -103,7 +136,9 @@ def _pivot(days: DataFrame, index: DataFrame, registry: Registry) -> DataFrame:
                 when 'procedure' then concat(period, '_', feature)
                 when 'ever' then feature
                 else concat(feature, '_', period) end as slot""",
-            "cast(case family when 'lab' then low when 'vital' then total else n end as double) as amount",
+            # Smoking is a status: a person's folded row counts once.
+            f"""cast(case when family = 'lab' then low when family = 'vital' then total
+                when feature = '{SMOKER}' then 1 else n end as double) as amount""",
             "case when family = 'lab' and low is not null then 1 when family = 'vital' then n end as weight",
         )
     )
@@ -146,22 +181,15 @@ def feature_table(
     """Person, 261 imputed features and the label.
 
     The index range has three consumers and is stored between; an index that
-    already is a stored table can be passed in.
+    already is a stored table can be passed in. The folded events have two, features
+    and ICU stays, and are stored as well, so that no event table is scanned twice.
     """
     if index is None:
         index = materialize(index_range(tables["cohort"], tables["visits"]), "index_range")
-    concepts = tables["concept_set_members"]
-    small = all_small(concepts, registry)
-    icu = utilization.icu_visits(
-        tables["procedure_occurrence"],
-        tables["condition_occurrence"],
-        tables["observation"],
-        concepts,
-        registry.icu,
-        small,
-    )
+    days = materialize(tagged_days(tables, registry), "tagged_days")
+    icu = days.where(f"feature = '{ICU}'").select(F.col("icu_visit").alias("visit_occurrence_id"))
     families = [
-        event_features(tables, index, registry, small),
+        _pivot(days, index, registry),
         utilization.utilization(index, tables["visits"], icu, los_max),
     ]
     person = demographics(tables["person"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perindex import registry as R
@@ -12,7 +12,7 @@ from perindex.functions.codes import VISIT_WORDS, visit_types
 from perindex.functions.periods import visit_in_period
 from perindex.operators.concepts import concept_lookup
 from perindex.operators.index_range import index_interval
-from perindex.operators.lookup import lookup_join
+from perindex.operators.lookup import is_small, lookup_join
 from perindex.registry import PERIODS, CodeGroup
 
 TYPES = ("ed", "ip", "op", "tele")
@@ -61,6 +61,8 @@ def icu_visits(
 ) -> DataFrame:
     """Distinct ids of the visits with an ICU concept in any of three tables."""
     concepts = concept_lookup(concept_sets, group).select("concept_id").distinct()
+    if small is None:
+        small = is_small(concepts)  # counted once for all three
     sources = (
         (procedures, "procedure_concept_id"),
         (conditions, "condition_concept_id"),
@@ -102,7 +104,7 @@ def los_stats(staged: DataFrame, icu: DataFrame) -> DataFrame:
     return overall.join(icu_los(staged, icu), "person_id", "left").na.fill(0, ["avg_icu_los"])
 
 
-def _patterns(staged: DataFrame) -> DataFrame:
+def _patterns(staged: DataFrame, *more: Column) -> DataFrame:
     """Visits folded by person, dates and stay; counts and flags add up from here."""
     return staged.groupBy(
         "person_id", "visit_start_date", "visit_end_date", "stay_start_date", "stay_end_date", "los"
@@ -113,6 +115,7 @@ def _patterns(staged: DataFrame) -> DataFrame:
             F.expr(f"bool_or(not contains(visit_concept_name, '{word}'))").alias(f"not_{t}")
             for t, word in VISIT_WORDS.items()
         ],
+        *more,
     )
 
 
@@ -167,30 +170,32 @@ def utilization(
 ) -> DataFrame:
     """One row per person of the index range with every utilisation feature.
 
-    All but the ICU average come from one pass over the visits: patterns are
-    joined with the index once, folded to stays, then to persons, and the two
-    folds need no further shuffle.
+    Everything comes from one pass over the visits: they are flagged by their ICU
+    evidence, patterns are joined with the index once, folded to stays, then to
+    persons, and the two folds need no further shuffle. ``icu`` has distinct ids.
     """
-    staged = stays(visits, los_max)
-    joined = _with_periods(index_interval(index).join(_patterns(staged), "person_id", "left"))
+    staged = flag_icu(stays(visits, los_max), icu)
+    patterns = _patterns(staged, F.max("is_icu").alias("is_icu"))
+    joined = _with_periods(index_interval(index).join(patterns, "person_id", "left"))
     per_stay = joined.groupBy("person_id", "stay_start_date", "stay_end_date", "los").agg(
         *_counts(types=("ed", "ip", "op")),
         F.sum("visits").alias("visits"),
         *[F.sum(f"n_{t}").alias(f"n_{t}") for t in VISIT_WORDS],
         *[F.bool_or(f"not_{t}").alias(f"not_{t}") for t in VISIT_WORDS],
+        F.max("is_icu").alias("is_icu"),
     )
     per_person = per_stay.groupBy("person_id").agg(
         *_flags(),
         F.avg("los").alias("avg_los"),
+        F.expr("avg(los) filter (where is_icu = 1)").alias("avg_icu_los"),
         F.sum("visits").alias("visits"),
         *[F.sum(c).alias(c) for c in R.VISIT_COUNT_COLUMNS],
     )
-    with_icu = per_person.join(icu_los(staged, icu), "person_id", "left")
     icu_average = F.when(
         F.col("visits").isNotNull(), F.coalesce("avg_icu_los", F.lit(0).cast("double"))
     )
     return fill_utilization(
-        with_icu.withColumn("avg_icu_los", icu_average).select("person_id", *R.UTILIZATION_COLUMNS)
+        per_person.withColumn("avg_icu_los", icu_average).select("person_id", *R.UTILIZATION_COLUMNS)
     )
 
 

@@ -13,6 +13,7 @@ from perindex.plans import utilization as ut
 from perindex.plans.demographics import demographics
 from perindex.sources.readers import empty_features, empty_frame, read_features
 from perindex.sources.star_views import DEMO, ClinicalViews
+from perindex.session import materialize
 from perindex.sources import schemas
 
 FOLDER = "/root/testdata/sf0.001"
@@ -121,3 +122,51 @@ def test_featurize_keeps_the_index_range_it_reads(spark, views, tmp_path):
     features = jobs.featurize(views.tables(), folder, DEMO, index=index)
     assert sorted(spark.read.parquet(f"{folder}/index_range").collect()) == before
     assert features.count() == views.person.count()
+
+
+def scanned_roots(df) -> list[str]:
+    """Root folder of every relation in a plan, once for each time that the plan reads it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    roots = []
+    while leaves.hasNext():
+        leaf = leaves.next()
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            roots.append(leaf.relation().location().rootPaths().mkString(","))
+    return roots
+
+
+def test_every_event_table_is_scanned_once(views, monkeypatch, tmp_path):
+    tables = {}
+    for name, df in views.tables().items():
+        df.write.parquet(str(tmp_path / name))
+        tables[name] = views.spark.read.parquet(str(tmp_path / name))
+    plans = []
+
+    def recorded(df, name):
+        plans.extend(scanned_roots(df))
+        return materialize(df, name)
+
+    monkeypatch.setattr(ft, "materialize", recorded)
+    plans.extend(scanned_roots(ft.feature_table(tables, DEMO)))
+    for name in ("measurement", "drug_exposure", "procedure_occurrence", "condition_occurrence", "observation", "person"):
+        assert sum(root.endswith(f"/{name}") for root in plans) == 1, name
+    # Once for the index range and once for the utilisation.
+    assert sum(root.endswith("/visits") for root in plans) == 2
+
+
+def test_icu_evidence_without_a_person_still_marks_its_visit(table):
+    tables = {
+        "concept_set_members": table("concept_set_members", dict(codeset_id=34, concept_id=1), dict(codeset_id=20, concept_id=1)),
+        "procedure_occurrence": table(
+            "procedure_occurrence",
+            dict(visit_occurrence_id=7, procedure_concept_id=1),
+            dict(person_id=1, visit_occurrence_id=7, procedure_concept_id=1, procedure_date=day("2020-01-01")),
+            dict(person_id=1, procedure_concept_id=1, procedure_date=day("2020-01-01")),
+        ),
+        **{n: table(n) for n in ("measurement", "drug_exposure", "condition_occurrence", "observation")},
+    }
+    rows = ft.tagged_days(tables, DEMO).collect()
+    assert [r.icu_visit for r in rows if r.feature == ft.ICU] == [7]
+    # A code of both kinds feeds the feature as well: two events of one day, and one without a person.
+    features = {(r.person_id, r.n) for r in rows if r.feature != ft.ICU}
+    assert features == {(1, 2), (None, 1)}
