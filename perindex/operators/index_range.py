@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perindex.operators.lookup import is_small
 from perindex.sources import schemas
 
+# More days than lie between any two dates of the calendar's years 1 to 9999.
+FARTHEST = 10_000_000
+
 _VISIT_COLUMNS = [
     "macrovisit_id",
     "visit_end_date",
@@ -35,27 +41,51 @@ def _interval(df: DataFrame) -> DataFrame:
     )
 
 
-def index_range(cohort: DataFrame, visits: DataFrame) -> DataFrame:
+def _closeness() -> Column:
+    """Place of a visit among those of its person, smallest first, as one number of fixed width.
+
+    Its digits are the days between start and index date, the visit's id, and the
+    index date, which tells repeated persons apart. Undated visits, and then a person
+    without any, have more days than dates can lie apart. An aggregation can keep a
+    decimal in its buffer, so it hashes; over a struct it would have to sort.
+    """
+    days = F.least(F.abs(F.datediff("visit_start_date", "covid_index")), F.lit(FARTHEST - 1))
+    none = F.when(F.col("visit_occurrence_id").isNull(), FARTHEST + 1).otherwise(FARTHEST)
+    far = F.coalesce(days, none).cast("decimal(8,0)")
+    # Ids and dates may be negative, so both are counted from the smallest one.
+    number = F.coalesce("visit_occurrence_id", F.lit(0)).cast("decimal(20,0)") + F.lit(Decimal(1 << 63))
+    date = F.coalesce(F.unix_date("covid_index"), F.lit(0)).cast("decimal(11,0)") + F.lit(Decimal(1 << 31))
+    visit = far * F.lit(Decimal(1 << 64)) + number
+    return (visit.cast("decimal(28,0)") * F.lit(Decimal(1 << 32)) + date).cast("decimal(38,0)")
+
+
+def index_range(cohort: DataFrame, visits: DataFrame, small: bool | None = None) -> DataFrame:
     """One row per cohort person with ``index_start_date`` and ``index_end_date``.
 
     The nearest visit wins by days between its start and the index date, then by
     smallest id; visits without a start date come last. Without any visit both
-    ends are the index date. The winner is a minimum over an ordered struct, which
-    needs no sort within the person as a window would.
+    ends are the index date. A person listed many times has the row nearest to a visit.
+
+    A cohort of counted size is broadcast: each task folds its visits to one row per
+    person, and only those rows are shuffled. A larger cohort is joined by person,
+    with the visits folded by day before, so no person has more than one per day.
     """
-    days = one_visit_per_day(visits)
-    # A person listed many times must not multiply with the days.
-    joined = cohort.distinct().join(days, "person_id", "left")
-    distance = F.abs(F.datediff("visit_start_date", "covid_index"))
-    order = [
-        distance.isNull().alias("undated"),
-        distance.alias("distance"),
-        F.col("visit_occurrence_id").isNull().alias("no_visit"),
-    ]
-    payload = ["visit_occurrence_id", "visit_start_date", *_VISIT_COLUMNS]
-    payload += [c for c in cohort.columns if c != "person_id"]
-    nearest = joined.groupBy("person_id").agg(F.min(F.struct(*order, *payload)).alias("v"))
-    return _interval(nearest.select("person_id", *[F.col(f"v.{c}").alias(c) for c in payload]))
+    once = cohort.distinct()  # repeated rows must not multiply with the visits
+    if small is None:
+        small = is_small(cohort)
+    if small:
+        listed = F.broadcast(once.withColumnRenamed("person_id", "listed"))
+        found = visits.select("person_id", "visit_occurrence_id", "visit_start_date", *_VISIT_COLUMNS)
+        found = found.join(listed, F.col("person_id") == F.col("listed")).drop("listed")
+        # Each person also has a row without a visit, which loses to any other.
+        rows = found.unionByName(cohort, allowMissingColumns=True)
+    else:
+        rows = once.join(one_visit_per_day(visits), "person_id", "left")
+    payload = ["visit_occurrence_id", "visit_start_date", *_VISIT_COLUMNS, *(c for c in cohort.columns if c != "person_id")]
+    nearest = rows.withColumn("__order", _closeness()).groupBy("person_id").agg(
+        *[F.min_by(c, "__order").alias(c) for c in payload]
+    )
+    return _interval(nearest)
 
 
 def index_range_nulls_first(cohort: DataFrame, visits: DataFrame) -> DataFrame:

@@ -103,3 +103,49 @@ def test_cohorts_combine_with_null_outcomes(spark, table):
     blinded = cohort.selectExpr("person_id + 100 as person_id", "covid_index")
     rows = by_key(combine_cohorts(cohort, blinded), "person_id")
     assert len(rows) == 14 and rows[101]["pasc_code_after_four_weeks"] is None
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_both_sizes_of_cohort_agree(table):
+    cohort, visits = setup(table)
+    cohort = cohort.unionByName(cohort).unionByName(cohort.where("person_id = 4"))
+    small, large = (index_range(cohort, visits, small=s) for s in (True, False))
+    rows = [sorted(tuple(r) for r in df.collect()) for df in (small, large)]
+    assert rows[0] == rows[1] and len(rows[0]) == 7
+    for df in (small, large):
+        assert "SortAggregate" not in plan_of(df)
+        assert "HashAggregate" in plan_of(df)
+
+
+def test_visits_of_a_small_cohort_are_shuffled_once(table):
+    cohort, visits = setup(table)
+    # One exchange folds the cohort, one the visits; the join needs none.
+    assert plan_of(index_range(cohort, visits, small=True)).count("Exchange hashpartitioning") == 2
+
+
+def test_extreme_ids_and_dates(table):
+    cohort = table(
+        "cohort",
+        dict(person_id=1, covid_index=day("2020-06-15")), dict(person_id=1, covid_index=day("0001-01-01")),
+        dict(person_id=2, covid_index=None), dict(person_id=3, covid_index=day("9999-12-31")),
+        dict(person_id=4, covid_index=day("2020-06-15")),
+    )
+    visits = table(
+        "visits",
+        visit(1, (1 << 63) - 1, "2020-06-14"), visit(1, -(1 << 63), "2020-06-16"), visit(1, 5, "9999-12-31"),
+        visit(2, 9, "2020-01-02"), visit(2, 8, "2020-01-05"),
+        visit(3, 1, "0001-01-01"), visit(3, 2, None),
+        visit(4, (1 << 63) - 1, None, "2020-07-01"),
+    )
+    for small in (True, False):
+        found = by_key(index_range(cohort, visits, small=small), "person_id")
+        # Equally near: the smaller id, which is negative.
+        assert found[1]["index_start_date"] == day("2020-06-16")
+        # Without an index date the smallest id wins.
+        assert found[2]["index_start_date"] == day("2020-01-05")
+        assert found[3]["index_start_date"] == day("0001-01-01")
+        # An undated visit is still a visit: it gives the end.
+        assert (found[4]["index_start_date"], found[4]["index_end_date"]) == (day("2020-06-15"), day("2020-07-01"))
