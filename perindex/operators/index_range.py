@@ -49,7 +49,8 @@ def _closeness() -> Column:
     without any, have more days than dates can lie apart. An aggregation can keep a
     decimal in its buffer, so it hashes; over a struct it would have to sort.
     """
-    days = F.least(F.abs(F.datediff("visit_start_date", "covid_index")), F.lit(FARTHEST - 1))
+    apart = F.abs(F.datediff("visit_start_date", "covid_index"))
+    days = F.when(apart < FARTHEST, apart).when(apart.isNotNull(), FARTHEST - 1)
     none = F.when(F.col("visit_occurrence_id").isNull(), FARTHEST + 1).otherwise(FARTHEST)
     far = F.coalesce(days, none).cast("decimal(8,0)")
     # Ids and dates may be negative, so both are counted from the smallest one.
