@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +32,8 @@ from perindex.plans import (
     utilization as ut,
     vitals,
 )
-from perindex.session import materialize
+from perindex.session import checkpoint_dir, materialize
+from perindex.sources import readers, schemas, writers
 from perindex.sources.star_views import DEMO, ClinicalViews
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +118,59 @@ def sql_projection_limit(v):
     )
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A folder that no other run writes to."""
+    return f"{checkpoint_dir(spark)}/sink-{uuid.uuid4().hex}"
+
+
+@query("select * from index_range")
+def index_range_round_trip(v):
+    """A stored index range, and nothing from a path where none is."""
+    stored = index_of(v)
+    writers.write_index_range(stored, path := fresh_path(v.spark))
+    found = readers.read_index_range(v.spark, path)
+    return found.unionByName(readers.read_index_range(v.spark, fresh_path(v.spark)))
+
+
+@query(
+    "select d.*, s.split from demographics d join (select person_id, case when cast('0x' || "
+    "substr(md5(person_id || ':16'), 1, 8) as bigint) / 4294967296::double < 0.75 then 'train' else 'test' end "
+    "as split from person) s on s.person_id = d.person_id where s.split = 'test'"
+)
+def features_round_trip(v):
+    """A split of a stored feature table, after a second write has replaced the first."""
+    table = assign_split(demographics.demographics(v.person), 0.25)
+    path = fresh_path(v.spark)
+    for share in (table.where("split = 'test'"), table):
+        writers.write_features(share, path)
+    return readers.read_features(v.spark, path, "test")
+
+
+@query("select person_id, predict_prob, subgroup as dataset from scores")
+def predictions_round_trip(v):
+    scores = v.scores.withColumnRenamed("subgroup", "dataset")
+    writers.write_predictions(scores, path := fresh_path(v.spark))
+    return readers.read_predictions(v.spark, path)
+
+
+@query(
+    "select person_id, "
+    + ", ".join(f"cast({-1 if c in R.LOS_COLUMNS else 0} as {'double' if c in R.LOS_COLUMNS else 'bigint'}) as {c}" for c in R.UTILIZATION_COLUMNS)
+    + " from person"
+)
+def typed_empty_frames(v):
+    """A family without rows still gives its columns, with the types and fills of a full one."""
+    absent = readers.empty_features(v.spark, R.UTILIZATION_COLUMNS)
+    rows = v.person.unionByName(readers.empty_frame(v.spark, schemas.PERSON), allowMissingColumns=True)
+    return ut.fill_utilization(rows.select("person_id").join(absent, "person_id", "left"))
+
+
+@query("select person_id as person, visit_occurrence_id as the_visit, visit_start_date as start_date from visits")
+def rename_columns(v):
+    rows = v.visits.select("person_id", F.col("visit_occurrence_id").alias("the visit"), "visit_start_date")
+    return C.rename(rows, {"person_id": "person", "visit_start_date": "start_date", "absent": "unused"})
+
+
 def _tag_sql(table: str, extra: dict[str, dict[str, str]]) -> str:
     columns = ", ".join(
         "case "
@@ -655,44 +709,87 @@ def stored_split(v: ClinicalViews) -> tuple[DataFrame, DataFrame]:
     return random_split(materialize(features_of(v), "features"), 0.25)
 
 
-ROUNDS = 10
+# A probability is no number that SQL could give; that every person has one, in range, is.
+SPLIT_SQL = ORACLES["split_assign"].rsplit("\n", 1)[-1]
+IN_RANGE = "predict_prob between 0 and 1"
 
 
-@query()
+@query(
+    "select person_id, ["
+    + ", ".join(f"round(cast({c} as double), 6)" for c in R.FEATURE_COLUMNS)
+    + "] as features from feature_table"
+)
 def vectorize(v):
+    numbers = M.vector_to_array("features")
     return M.vectorize(features_of(v)).select(
-        "person_id", M.vector_to_array("features").alias("features")
+        "person_id", F.transform(numbers, lambda x: F.round(x, 6)).alias("features")
     )
 
 
-@query()
+@query(
+    f"select f.person_id, f.{R.LABEL} as true_label, s.split as dataset, true as in_range "
+    f"from feature_table f join ({SPLIT_SQL}) s on s.person_id = f.person_id"
+)
 def gbt_scores(v):
     train, test = stored_split(v)
-    model = M.fit(train, M.boosted_trees(ROUNDS))
-    return M.score_datasets(model, {"train": train, "test": test}).drop("true_label")
+    model = M.fit(train, M.boosted_trees())
+    scored = M.score_datasets(model, {"train": train, "test": test})
+    return scored.select("person_id", "true_label", "dataset", F.expr(IN_RANGE).alias("in_range"))
 
 
-@query()
+METRICS = ("precision", "recall", "f1_score", "area_under_roc", "average_precision", "brier_score")
+ALL_IN_RANGE = " and ".join(f"{m} between 0 and 1" for m in METRICS)
+
+
+@query(
+    f"select s.split as dataset, count(f.{R.LABEL}) as n, true as in_range from feature_table f "
+    f"join ({SPLIT_SQL}) s on s.person_id = f.person_id group by 1"
+)
 def score_datasets(v):
     train, test = stored_split(v)
-    model = M.fit(train, LogisticRegression(weightCol="class_weight", maxIter=20))
-    scored = M.score_datasets(model, {"train": train, "test": test})
-    return threshold.metric_set(scored)
+    model = M.fit(train, M.candidates(len(R.FEATURE_COLUMNS))["logistic_regression"])
+    metrics = threshold.metric_set(M.score_datasets(model, {"train": train, "test": test}))
+    return metrics.select("dataset", "n", F.expr(ALL_IN_RANGE).alias("in_range"))
 
 
-@query()
+CANDIDATES = (
+    "logistic_regression", "decision_tree", "random_forest", "gradient_boosted_trees", "multilayer_perceptron",
+)
+
+
+@query(
+    "select m.model, t.n, true as in_range from ("
+    + " union all ".join(f"select '{name}' as model" for name in CANDIDATES)
+    + f") m cross join (select count(f.{R.LABEL}) as n from feature_table f "
+    f"join ({SPLIT_SQL}) s on s.person_id = f.person_id where s.split = 'test') t"
+)
 def model_compare(v):
-    train, test = stored_split(v)
-    return M.compare(train, test, M.candidates(len(R.FEATURE_COLUMNS), rounds=ROUNDS))
+    compared = M.compare(*stored_split(v))
+    return compared.select("model", "n", F.expr(ALL_IN_RANGE).alias("in_range"))
 
 
-@query()
+@query(
+    " union all ".join(
+        f"select 'maxDepth={depth}, stepSize={step}' as params, true as in_range"
+        for depth in M.GRID["maxDepth"]
+        for step in M.GRID["stepSize"]
+    )
+)
 def cv_grid(v):
     train, _ = stored_split(v)
-    search = M.grid_search(
-        train, M.boosted_trees(3), {"maxDepth": [2, 4], "stepSize": [0.05, 0.1]}, folds=2
-    )
-    return M.grid_results(search, v.spark)
+    found = M.grid_results(M.grid_search(train, parallelism=8), v.spark)
+    return found.select("params", F.expr("area_under_roc between 0 and 1").alias("in_range"))
+
+
+@query("select person_id, true as same from feature_table")
+def model_round_trip(v):
+    """Persons whose score is the same by a model and by its stored form."""
+    features = materialize(features_of(v), "features")
+    model = M.fit(features, M.candidates(len(R.FEATURE_COLUMNS))["logistic_regression"])
+    M.save(model, path := fresh_path(v.spark))
+    stored = M.score(M.load(path), features).select("person_id", F.col("predict_prob").alias("stored"))
+    both = M.score(model, features).join(stored, "person_id")
+    return both.select("person_id", F.expr("predict_prob = stored").alias("same"))
 
 
 # Evaluation.

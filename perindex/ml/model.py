@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from perindex import registry as R
 from perindex.metrics.threshold import metric_set
+from perindex.ml.split import uniform
 from perindex.session import checkpoint_dir, materialize
 
 # The boosted-tree settings. The L1 and L2 penalties of other
@@ -31,6 +32,11 @@ LEARNING_RATE = 0.1
 FEATURE_SHARE = "0.5"
 ROUNDS = 100
 SEED = 16
+# Rounds that rank candidates and parameters against each other; the chosen one is fitted with ROUNDS.
+SEARCH_ROUNDS = 20
+# The search: depth and learning rate around the settings above.
+GRID = {"maxDepth": [4, 8], "stepSize": [0.05, 0.1]}
+FOLDS = 3
 
 
 def assembler(columns: list[str] | None = None) -> VectorAssembler:
@@ -114,7 +120,7 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def candidates(n_features: int, seed: int = SEED, rounds: int = 20) -> dict:
+def candidates(n_features: int, seed: int = SEED, rounds: int = SEARCH_ROUNDS) -> dict:
     """The classifiers that are compared with each other."""
     return {
         "logistic_regression": LogisticRegression(weightCol="class_weight", maxIter=50),
@@ -145,31 +151,47 @@ def compare(
     return metric_set(stored, threshold, by=("model",))
 
 
+def folds_of(df: DataFrame, columns: list[str] | None, folds: int, seed: int) -> DataFrame:
+    """Labelled rows as vectors with a fold number that depends on the person alone, stored."""
+    rows = assembler(columns).transform(training_rows(df))
+    fold = F.floor(uniform("person_id", seed) * folds).cast("int").alias("fold")
+    return materialize(rows.select("label", "class_weight", "features", fold), "folds")
+
+
 def grid_search(
     df: DataFrame,
     estimator=None,
     grid: dict[str, list] | None = None,
     columns: list[str] | None = None,
-    folds: int = 3,
-    parallelism: int = 2,
+    folds: int = FOLDS,
+    parallelism: int = 4,
     seed: int = SEED,
 ) -> CrossValidatorModel:
-    """Cross-validated search over the parameters of one classifier, by AUROC."""
+    """Cross-validated search over the parameters of one classifier, by AUROC.
+
+    The vectors are assembled once and stored with their folds; every combination
+    reads them from there, and all see the same folds. The best model takes
+    vectors, ``best_pipeline`` puts the assembler before it.
+    """
     checkpoint_dir(df.sparkSession)
-    estimator = estimator or boosted_trees()
-    grid = grid or {"maxDepth": [4, 8], "stepSize": [0.05, 0.1]}
+    estimator = estimator or boosted_trees(SEARCH_ROUNDS, seed)
     builder = ParamGridBuilder()
-    for name, values in grid.items():
+    for name, values in (grid or GRID).items():
         builder = builder.addGrid(estimator.getParam(name), values)
     search = CrossValidator(
-        estimator=Pipeline(stages=[assembler(columns), estimator]),
+        estimator=estimator,
         estimatorParamMaps=builder.build(),
         evaluator=BinaryClassificationEvaluator(labelCol="label"),
         numFolds=folds,
+        foldCol="fold",
         parallelism=parallelism,
-        seed=seed,
     )
-    return search.fit(training_rows(df))
+    return search.fit(folds_of(df, columns, folds, seed))
+
+
+def best_pipeline(search: CrossValidatorModel, columns: list[str] | None = None) -> PipelineModel:
+    """The best model of a search as a pipeline that scores feature tables."""
+    return PipelineModel([assembler(columns), search.bestModel])
 
 
 def grid_results(model: CrossValidatorModel, spark) -> DataFrame:

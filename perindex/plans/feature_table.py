@@ -172,6 +172,11 @@ def assemble(person: DataFrame, families: list[DataFrame], index: DataFrame) ->
     return joined.selectExpr("person_id", *typed, f"{found[R.LABEL]} as {R.LABEL}")
 
 
+def require_one_row_per_person(index: DataFrame) -> None:
+    if not index.groupBy("person_id").count().filter("count > 1").isEmpty():
+        raise ValueError("the index range holds a person more than once")
+
+
 def feature_table(
     tables: dict[str, DataFrame],
     registry: Registry,
@@ -181,11 +186,13 @@ def feature_table(
     """Person, 261 imputed features and the label.
 
     The index range has three consumers and is stored between; an index that
-    already is a stored table can be passed in. The folded events have two, features
+    already is a stored table can be passed in, with one row per person. The folded events have two, features
     and ICU stays, and are stored as well, so that no event table is scanned twice.
     """
     if index is None:
         index = materialize(index_range(tables["cohort"], tables["visits"]), "index_range")
+    else:
+        require_one_row_per_person(index)
     days = materialize(tagged_days(tables, registry), "tagged_days")
     icu = days.where(f"feature = '{ICU}'").select(F.col("icu_visit").alias("visit_occurrence_id"))
     families = [

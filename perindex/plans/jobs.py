@@ -13,9 +13,10 @@ from perindex.operators.index_range import index_range
 from perindex.plans.feature_table import feature_table
 from perindex.registry import PRODUCTION, Registry
 from perindex.session import materialize
-from perindex.sources import schemas
-from perindex.sources.readers import empty_frame, path_exists, read_features, read_omop, read_table
-from perindex.sources.writers import write_features, write_predictions
+from perindex.sources import schemas, versions
+from perindex.sources.readers import empty_frame, read_features, read_omop, read_table
+from perindex.sources.versions import path_exists
+from perindex.sources.writers import write_predictions
 
 
 def load_inputs(
@@ -56,21 +57,22 @@ def featurize(
     """Write the index range and the feature table, and return the latter.
 
     An index range that exists already, such as one from ``read_index_range``, is
-    used as it is; a person may occur in it once only. It is stored apart before the
-    output is written, so it may come from the output folder itself. Both splits come from one evaluation of the plan.
+    used as it is; a person may occur in it once only. Both tables are written under
+    a new version of the output, which becomes the current one when both are complete,
+    so features never lie beside another run's index range, and an index range may
+    come from the output folder itself. Both splits come from one evaluation of the plan.
     """
     spark = tables["person"].sparkSession
-    index_path = f"{output}/index_range"
     if index is None:
         index = index_range(tables["cohort"], tables["visits"])
-    else:
-        index = materialize(index, "index_range")
-        if not index.groupBy("person_id").count().filter("count > 1").isEmpty():
-            raise ValueError("the index range holds a person more than once")
-    index.write.mode("overwrite").parquet(index_path)
-    index = spark.read.schema(schemas.INDEX_RANGE).parquet(index_path)
-    features = feature_table(tables, registry, index, los_max)
-    write_features(assign_split(features, test_share, seed), f"{output}/features")
+
+    def write(folder: str) -> None:
+        index.write.parquet(f"{folder}/index_range")
+        stored = spark.read.schema(schemas.INDEX_RANGE).parquet(f"{folder}/index_range")
+        features = feature_table(tables, registry, stored, los_max)
+        assign_split(features, test_share, seed).write.partitionBy("split").parquet(f"{folder}/features")
+
+    versions.replace(spark, output, write, owned=("index_range", "features"))
     return read_features(spark, f"{output}/features")
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, IntegerType, LongType, StructType
+from pyspark.sql.types import DataType, DoubleType, FloatType, IntegerType, LongType, StructType
 
 from perindex.registry import DOUBLE_COLUMNS
 from perindex.sources import schemas
+from perindex.sources.versions import path_exists, resolve
 
 
 def _typed(column: Column, source: DataType, target: DataType) -> Column:
@@ -22,8 +23,15 @@ def _typed(column: Column, source: DataType, target: DataType) -> Column:
     if isinstance(target, (LongType, IntegerType)):
         if isinstance(source, (LongType, IntegerType)):
             return column.try_cast(target)
-        exact = column if isinstance(source, DoubleType) else column.try_cast("decimal(38,6)")
-        return F.when(exact == F.floor(exact), exact.try_cast(target))
+        if isinstance(source, (DoubleType, FloatType)):
+            return F.when(column == F.floor(column), column.try_cast(target))
+        # Text: only zeros may follow the point, however many digits there are.
+        text = F.trim(column.cast("string"))
+        whole = F.regexp_extract(text, r"^([+-]?[0-9]+)(?:\.0*)?$", 1)
+        exact = text.try_cast("decimal(38,6)")  # for text with an exponent
+        return F.when(whole != "", whole.try_cast("decimal(38,0)").try_cast(target)).when(
+            F.contains(F.lower(text), F.lit("e")) & (exact == F.floor(exact)), exact.try_cast(target)
+        )
     return column.try_cast(target)
 
 
@@ -72,19 +80,13 @@ def read_omop(
     }
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` exists on whichever file system it names."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    return jvm_path.getFileSystem(conf).exists(jvm_path)
-
-
 def empty_frame(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
 def read_index_range(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A stored index range, or an empty one with the same columns."""
+    path = resolve(spark, path)
     if path_exists(spark, path):
         return read_table(spark, path, schemas.INDEX_RANGE, fmt)
     return empty_frame(spark, schemas.INDEX_RANGE)
@@ -98,5 +100,15 @@ def empty_features(spark: SparkSession, columns: list[str]) -> DataFrame:
 
 def read_features(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """A stored feature table; naming a split reads only that partition."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(resolve(spark, path))
     return df if split is None else df.where(F.col("split") == split)
+
+
+def read_predictions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Stored predictions: person, probability and, if there are several, dataset as text."""
+    reader = spark.read.format(fmt)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    df = reader.load(resolve(spark, path))
+    dataset = [F.col("dataset").cast("string").alias("dataset")] if "dataset" in df.columns else []
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.PREDICTIONS], *dataset)

@@ -1,12 +1,18 @@
-"""Sinks. Every write is distributed; nothing passes through the driver."""
+"""Sinks. Every write is distributed; nothing passes through the driver.
+
+A sink replaces its table by a new version, see ``versions``; the readers of
+``readers`` find the current one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from perindex.sources import versions
+
 
-def _write(df: DataFrame, path: str, by: str | None, fmt: str, mode: str) -> None:
-    writer = df.write.mode(mode).format(fmt)
+def _write(df: DataFrame, path: str, by: str | None, fmt: str) -> None:
+    writer = df.write.format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
     if by is not None:
@@ -14,12 +20,22 @@ def _write(df: DataFrame, path: str, by: str | None, fmt: str, mode: str) -> Non
     writer.save(path)
 
 
-def write_features(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write a feature table, one folder per split if it carries a ``split`` column."""
-    _write(df, path, "split" if "split" in df.columns else None, fmt, mode)
+def _split(df: DataFrame) -> str | None:
+    return "split" if "split" in df.columns else None
+
+
+def write_features(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Replace a feature table, one folder per split if it carries a ``split`` column."""
+    versions.replace(df.sparkSession, path, lambda folder: _write(df, folder, _split(df), fmt))
+
+
+def write_index_range(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Replace a stored index range."""
+    versions.replace(df.sparkSession, path, lambda folder: _write(df, folder, None, fmt))
 
 
-def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write ``person_id, predict_prob``, one folder per dataset if there are several."""
-    keep = [c for c in ("person_id", "predict_prob", "dataset") if c in df.columns]
-    _write(df.select(*keep), path, "dataset" if "dataset" in keep else None, fmt, mode)
+def write_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Replace ``person_id, predict_prob``, one folder per dataset if there are several."""
+    rows = df.select(*[c for c in ("person_id", "predict_prob", "dataset") if c in df.columns])
+    by = "dataset" if "dataset" in rows.columns else None
+    versions.replace(df.sparkSession, path, lambda folder: _write(rows, folder, by, fmt))

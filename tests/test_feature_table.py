@@ -11,10 +11,17 @@ from perindex.plans import diagnoses, jobs, labs, medications, procedures, smoki
 from perindex.plans import feature_table as ft
 from perindex.plans import utilization as ut
 from perindex.plans.demographics import demographics
-from perindex.sources.readers import empty_features, empty_frame, read_features
+from perindex.sources.readers import (
+    empty_features,
+    empty_frame,
+    read_features,
+    read_index_range,
+    read_predictions,
+)
 from perindex.sources.star_views import DEMO, ClinicalViews
 from perindex.session import materialize
 from perindex.sources import schemas
+from perindex.sources.versions import current
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -101,10 +108,10 @@ def test_featurize_train_infer(spark, views, tmp_path):
     jobs.train(train, str(tmp_path / "model"), rounds=2)
     metrics = jobs.infer({"train": train, "test": test}, str(tmp_path / "model"), str(tmp_path / "pred"))
     assert sorted(r.dataset for r in metrics.collect()) == ["test", "train"]
-    predictions = spark.read.parquet(str(tmp_path / "pred"))
+    predictions = read_predictions(spark, str(tmp_path / "pred"))
     assert set(predictions.columns) == {"person_id", "predict_prob", "dataset"}
     assert predictions.count() == features.count()
-    stored = spark.read.parquet(str(tmp_path / "out/index_range"))
+    stored = read_index_range(spark, str(tmp_path / "out/index_range"))
     assert stored.columns == schemas.INDEX_RANGE.names
     given = jobs.featurize(views.tables(), str(tmp_path / "again"), DEMO, index=stored)
     assert sorted(given.drop("split").collect()) == sorted(features.drop("split").collect())
@@ -113,15 +120,35 @@ def test_featurize_train_infer(spark, views, tmp_path):
 
 def test_featurize_keeps_the_index_range_it_reads(spark, views, tmp_path):
     folder = str(tmp_path / "out")
-    index_range(views.cohort, views.visits).write.parquet(f"{folder}/index_range")
+    index_range(views.cohort, views.visits).write.parquet(f"{folder}/index_range")  # a plain folder
     before = sorted(spark.read.parquet(f"{folder}/index_range").collect())
-    index = spark.read.parquet(f"{folder}/index_range")
+    index = read_index_range(spark, f"{folder}/index_range")
     with pytest.raises(ValueError, match="more than once"):
         jobs.featurize(views.tables(), folder, DEMO, index=index.unionByName(index))
-    assert sorted(spark.read.parquet(f"{folder}/index_range").collect()) == before
-    features = jobs.featurize(views.tables(), folder, DEMO, index=index)
-    assert sorted(spark.read.parquet(f"{folder}/index_range").collect()) == before
-    assert features.count() == views.person.count()
+    assert sorted(read_index_range(spark, f"{folder}/index_range").collect()) == before
+    jobs.featurize(views.tables(), folder, DEMO, index=index)
+    again = read_index_range(spark, f"{folder}/index_range")
+    assert sorted(again.collect()) == before
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == sorted(
+        ["_CURRENT", current(spark, folder)]
+    )
+    features = sorted(read_features(spark, f"{folder}/features").collect())
+
+    def fail(*args):
+        raise RuntimeError("lost")
+
+    with pytest.MonkeyPatch.context() as patch:  # the index range is written, the features are not
+        patch.setattr(jobs, "feature_table", fail)
+        with pytest.raises(RuntimeError, match="lost"):
+            jobs.featurize(views.tables(), folder, DEMO, index=again.where("person_id < 100"))
+    assert sorted(read_index_range(spark, f"{folder}/index_range").collect()) == before
+    assert sorted(read_features(spark, f"{folder}/features").collect()) == features
+
+
+def test_repeated_persons_are_refused(views):
+    index = index_range(views.cohort, views.visits)
+    with pytest.raises(ValueError, match="more than once"):
+        ft.feature_table(views.tables(), DEMO, index.unionByName(index.where("person_id = 1")))
 
 
 def scanned_roots(df) -> list[str]:

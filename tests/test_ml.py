@@ -9,6 +9,7 @@ from perindex.ml import model as M
 from perindex.ml.explain import top_factors
 from perindex.ml.split import assign_split, random_split
 from perindex.plans import jobs
+from perindex.sources.readers import read_predictions
 
 COLUMNS = ["age", "copd", "obesity"]
 
@@ -49,7 +50,7 @@ def test_fit_save_load_score(people, tmp_path):
         tables = {n: people.drop(R.LABEL) if n in withheld else people.withColumn("more", F.lit(n)) for n in ("a", "b")}
         metrics = jobs.infer(tables, str(tmp_path / "m"), str(tmp_path / "p")).collect()
         assert {r.dataset: r.n for r in metrics} == {n: 600 for n in ("a", "b") if n not in withheld}
-        written = people.sparkSession.read.parquet(str(tmp_path / "p"))
+        written = read_predictions(people.sparkSession, str(tmp_path / "p"))
         assert {(r.dataset, r["count"]) for r in written.groupBy("dataset").count().collect()} == {("a", 600), ("b", 600)}
 
 
@@ -77,6 +78,21 @@ def test_compare_and_grid(spark, people):
     )
     results = M.grid_results(found, spark).collect()
     assert [r.params for r in results] == ["regParam=0.0", "regParam=0.1"]
+    scored = M.score(M.best_pipeline(found, COLUMNS), test).collect()
+    assert len(scored) == test.count() and all(0 <= r.predict_prob <= 1 for r in scored)
+
+
+def test_the_search_assembles_once_and_shares_its_folds(people, monkeypatch):
+    assembled, transform = [], M.VectorAssembler.transform
+    monkeypatch.setattr(M.VectorAssembler, "transform", lambda self, *a: assembled.append(1) or transform(self, *a))
+    folds = M.folds_of(people, COLUMNS, 3, 1)
+    assert len(assembled) == 1
+    sizes = {r.fold: r["count"] for r in folds.groupBy("fold").count().collect()}
+    assert set(sizes) == {0, 1, 2} and min(sizes.values()) > 150
+    again = M.folds_of(people.repartition(7), COLUMNS, 3, 1).groupBy("fold").count().collect()
+    assert {r.fold: r["count"] for r in again} == sizes
+    M.grid_search(people, LogisticRegression(maxIter=2), {"regParam": [0.0, 0.1, 0.2]}, COLUMNS, folds=3)
+    assert len(assembled) == 3  # the two above, and once for all combinations and folds
 
 
 def test_top_factors(people):

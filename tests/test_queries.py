@@ -12,8 +12,6 @@ from checks.compare import compare, connect
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no tables")
 ORACLES = entry_points.oracle_sql()
-# Model queries without SQL train for a while; test_ml covers their parts.
-SLOW = {"gbt_scores", "score_datasets", "model_compare", "cv_grid"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +19,7 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", [n for n in entry_points.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(entry_points.queries()))
 def test_query(spark, duck, name):
     build = entry_points.queries()[name]
     status, rows, note = compare(spark, duck, FOLDER, build, ORACLES.get(name))

@@ -7,7 +7,7 @@ from conftest import day
 
 from perindex.plans.jobs import load_inputs
 from perindex.session import checkpoint_dir, materialize
-from perindex.sources import readers, schemas, writers
+from perindex.sources import readers, schemas, versions, writers
 
 
 def test_csv_columns_are_found_by_name(spark, tmp_path):
@@ -83,13 +83,47 @@ def test_writers(spark, tmp_path, fmt):
         "if(id < 2, 'test', 'train') as dataset",
     )
     path = str(tmp_path / fmt)
-    writers.write_predictions(df, path, fmt)
-    reader = spark.read.option("header", True).option("inferSchema", True)
-    back = reader.format(fmt).load(path)
-    assert set(back.columns) == {"person_id", "predict_prob", "dataset"} and back.count() == 6
+    for _ in range(2):  # the second write replaces the first
+        writers.write_predictions(df, path, fmt)
+    back = readers.read_predictions(spark, path, fmt)
+    assert sorted(back.collect()) == sorted(df.select("person_id", "predict_prob", "dataset").collect())
     features = df.drop("dataset").withColumnRenamed("true_label", "f")
     writers.write_features(features, path + "-full", fmt)
-    assert reader.format(fmt).load(path + "-full").count() == 6
+    reader = spark.read.option("header", True).option("inferSchema", True)
+    assert reader.format(fmt).load(versions.resolve(spark, path + "-full")).count() == 6
+
+
+def test_a_failed_write_leaves_the_table_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "table")
+    good = spark.range(50).selectExpr("id as person_id", "id / 100 as predict_prob")
+    writers.write_predictions(good, path)
+    bad = spark.range(50).selectExpr(
+        "id as person_id", "if(id = 49, raise_error('broken row'), id / 100) as predict_prob"
+    ).repartition(5)
+    with pytest.raises(Exception, match="broken row"):
+        writers.write_predictions(bad, path)
+    assert sorted(readers.read_predictions(spark, path).collect()) == sorted(good.collect())
+    # Nothing of the failed version is left, and the next write succeeds.
+    folders = [p.name for p in (tmp_path / "table").iterdir() if p.is_dir()]
+    assert folders == [versions.current(spark, path)]
+    writers.write_predictions(good.where("person_id < 3"), path)
+    assert readers.read_predictions(spark, path).count() == 3
+    assert len([p for p in (tmp_path / "table").iterdir() if p.is_dir()]) == 1
+
+
+def test_a_plain_folder_becomes_a_versioned_table(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    spark.range(4).selectExpr("id as person_id", "0.5 as predict_prob").write.parquet(path)
+    assert versions.current(spark, path) is None and readers.read_predictions(spark, path).count() == 4
+    writers.write_predictions(spark.range(2).selectExpr("id as person_id", "0.1 as predict_prob"), path)
+    assert readers.read_predictions(spark, path).count() == 2
+
+
+def test_ids_in_text_are_never_cut_to_others(spark):
+    texts = ["76", "76.0", "76.", " 76.000 ", "76.0000001", "76.5", "x", None, "9223372036854775807.0", "9223372036854775808"]
+    df = spark.createDataFrame([(t,) for t in texts], "person_id string")
+    back = readers.conform(df, schemas.PREDICTIONS).select("person_id").collect()
+    assert [r.person_id for r in back] == [76, 76, 76, 76, None, None, None, None, 9223372036854775807, None]
 
 
 def test_materialize_writes_to_the_checkpoint_folder(spark):
