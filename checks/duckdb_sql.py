@@ -200,32 +200,29 @@ CTES: dict[str, str] = {
     "avg(p.value) as value from lab_pick p left join index_range i on i.person_id = p.person_id "
     f"where p.feature in ({listed(R.LAB_FEATURES)}) group by 1, 2, 3",
     # Utilisation.
-    "stays": "select person_id, visit_occurrence_id, visit_start_date, visit_end_date, visit_concept_name, "
-    "coalesce(macrovisit_start_date, visit_start_date) as stay_start_date, "
+    # A stay is the macro visit where there is one; kind tests go by the words of the visit's name.
+    "staged": "select *, coalesce(macrovisit_start_date, visit_start_date) as stay_start_date, "
     "coalesce(macrovisit_end_date, visit_end_date) as stay_end_date, "
-    "case when coalesce(macrovisit_end_date, visit_end_date) is not null then "
-    "coalesce(macrovisit_end_date, visit_end_date) - coalesce(macrovisit_start_date, visit_start_date) "
-    "else 0 end as los, "
-    "case when visit_concept_name like '%Emergency%' then 1 else 0 end as is_ed, "
-    "case when visit_concept_name like '%Inpatient%' then 1 else 0 end as is_ip, "
-    "case when visit_concept_name like '%Tele%' then 1 else 0 end as is_tele, "
-    "case when visit_concept_name not like '%Emergency%' and visit_concept_name not like '%Inpatient%' "
-    "and visit_concept_name not like '%Tele%' then 1 else 0 end as is_op from visits",
+    "contains(visit_concept_name, 'Emergency') as named_ed, contains(visit_concept_name, 'Inpatient') as named_ip, "
+    "contains(visit_concept_name, 'Tele') as named_tele from visits",
+    "stays": "select person_id, visit_occurrence_id, visit_start_date, visit_end_date, visit_concept_name, "
+    "named_ed, named_ip, named_tele, stay_start_date, stay_end_date, "
+    "if(stay_end_date is null, 0, date_diff('day', stay_start_date, stay_end_date)) as los, "
+    "if(named_ed, 1, 0) as is_ed, if(named_ip, 1, 0) as is_ip, if(named_tele, 1, 0) as is_tele, "
+    "if(not (named_ed or named_ip or named_tele), 1, 0) as is_op from staged",
     "icu_concepts": f"select concept_id from concept_sets where codeset_id in ({codesets(DEMO.icu)})",
     "icu_visits": "select visit_occurrence_id from procedure_occurrence where procedure_concept_id in (select concept_id from icu_concepts) "
     "union select visit_occurrence_id from condition_occurrence where condition_concept_id in (select concept_id from icu_concepts) "
     "union select visit_occurrence_id from observation where observation_concept_id in (select concept_id from icu_concepts)",
-    "los_stats": "select o.person_id, o.avg_los, coalesce(c.avg_icu_los, 0) as avg_icu_los from "
-    "(select person_id, avg(los) as avg_los from (select distinct person_id, stay_start_date, stay_end_date, los from stays) group by 1) o "
-    "left join (select person_id, avg(los) as avg_icu_los from (select distinct person_id, stay_start_date, stay_end_date, los from stays "
-    "where visit_occurrence_id in (select visit_occurrence_id from icu_visits)) group by 1) c on c.person_id = o.person_id",
-    "index_flags": "select person_id, "
-    "case when bool_or(visit_concept_name like '%Emergency%') then 1 else 0 end as is_index_ed, "
-    "case when bool_or(visit_concept_name like '%Inpatient%') then 1 else 0 end as is_index_ip, "
-    "case when bool_or(visit_concept_name like '%Tele%') then 1 else 0 end as is_index_tele, "
-    "case when bool_or(visit_concept_name not like '%Emergency%') and bool_or(visit_concept_name not like '%Inpatient%') "
-    "and bool_or(visit_concept_name not like '%Tele%') then 1 else 0 end as is_index_op "
-    "from (select distinct i.person_id, v.visit_concept_name from index_range i left join visits v on i.person_id = v.person_id) group by 1",
+    # One row per stay says whether any of its visits has evidence; both averages are taken over those rows.
+    "stay_rows": "select person_id, stay_start_date, stay_end_date, los, bool_or(e.visit_occurrence_id is not null) as icu "
+    "from stays left join icu_visits e using (visit_occurrence_id) group by all",
+    "los_stats": "select person_id, avg(los) as avg_los, coalesce(avg(los) filter (where icu), 0) as avg_icu_los "
+    "from stay_rows group by person_id",
+    # An outpatient person has, for each word, a visit without it.
+    "index_flags": "select i.person_id, if(bool_or(s.named_ed), 1, 0) as is_index_ed, if(bool_or(s.named_ip), 1, 0) as is_index_ip, "
+    "if(bool_or(s.named_tele), 1, 0) as is_index_tele, if(bool_or(not s.named_ed) and bool_or(not s.named_ip) "
+    "and bool_or(not s.named_tele), 1, 0) as is_index_op from index_range i left join stays s on s.person_id = i.person_id group by 1",
 }
 
 VISIT_TESTS = {

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from perindex.functions import columns as C
 from perindex.operators import concepts, events
-from perindex.operators.lookup import SALTS, is_small, lookup_join
+from perindex.operators.lookup import hot_keys, is_small, lookup_join, salted_sides
 from perindex.registry import PRODUCTION
 
 
@@ -31,13 +33,21 @@ def test_lookup_is_broadcast_only_below_the_bound(spark):
     assert sorted(small.collect()) == sorted(large.collect())
 
 
-def test_a_hot_code_is_spread_over_the_salts(spark):
-    from pyspark.sql import functions as F
-
-    salt = F.pmod(F.xxhash64("person_id", "event_date"), F.lit(SALTS))
-    hot = skewed_events(spark).where("code = 1").groupBy(salt).count().collect()
-    total = sum(r["count"] for r in hot)
-    assert len(hot) > SALTS / 2 and max(r["count"] for r in hot) < total / 10
+def test_only_hot_codes_are_salted(spark):
+    rows = skewed_events(spark)
+    lookup = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (60, "d")], "concept_id long, feature string")
+    assert {r.hot_key: r.salts for r in hot_keys(rows, "code", 500).collect()} == {1: 7}  # 3,120 events
+    assert hot_keys(rows, "code").count() == 0 and hot_keys(rows.limit(0), "code").count() == 0
+    left, right = salted_sides(rows, lookup, "code", "concept_id", ("person_id", "event_date"), 500)
+    hot = [r["count"] for r in left.where("code = 1").groupBy("__salt").count().collect()]
+    assert len(hot) == 7 and sum(hot) == 3120 and max(hot) < 700
+    assert left.where("code <> 1").select("__salt").distinct().count() == 1
+    repeated = {r.concept_id: r["count"] for r in right.groupBy("concept_id").count().collect()}
+    assert repeated == {1: 14, 2: 1, 60: 1}
+    on = (F.col("code") == F.col("concept_id")) & (F.col("__salt") == F.col("__lookup_salt"))
+    joined = left.join(right, on).select("person_id", "code", "event_date", "feature")
+    plain = lookup_join(rows, lookup, "code", "concept_id", small=True)
+    assert sorted(joined.collect()) == sorted(plain.collect())
 
 
 def test_events_are_folded_by_day_before_they_meet_the_index(spark):
