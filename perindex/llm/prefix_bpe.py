@@ -13,6 +13,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from perindex.llm.text_batches import map_columns, whole_text
 from perindex.llm.word_ids import byte_characters
 
-#: Distinct words that a worker keeps before it starts anew, and words in one trie.
-KEPT, TRIE_WORDS = 700_000, 20_000
+#: Distinct words that a worker keeps before it starts anew, bytes of their results, and words in one trie.
+KEPT, KEPT_BYTES, TRIE_WORDS = 700_000, 64 << 20, 20_000
 
 # In texts of these characters alone, the vocabulary's word pattern is the one below.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
@@ -34,6 +35,34 @@ PLAIN_WORDS = re.compile(
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def shared_start(a: bytes, b: bytes) -> int:
+    """Bytes that two words have in common at their start."""
+    if a[0] != b[0]:
+        return 0
+    if b.startswith(a):
+        return len(a)
+    return next(i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y)
+
+
+def branch_depths(shared: list[int]) -> list[list[int]]:
+    """For each word of an ordered list the depths at which later words branch off its own part.
+
+    ``shared[i]`` is what word i shares with the word before. A later word branches off the last
+    word before it that goes on beyond what they share.
+    """
+    branches: list[list[int]] = [[] for _ in shared]
+    owners: list[tuple[int, int]] = []  # words whose own parts are still open: where they start, and number
+    for number, depth in enumerate(shared):
+        while owners and owners[-1][0] > depth:
+            owners.pop()
+        if owners and owners[-1][0] == depth:
+            owners.pop()  # this node exists already
+        elif depth:
+            branches[owners[-1][1]].append(depth)
+        owners.append((depth, number))
+    return [sorted(depths) for depths in branches]
+
+
 class PrefixBpe:
     """Encode and decode texts with a byte-level vocabulary file."""
 
@@ -59,6 +88,7 @@ class PrefixBpe:
         self.whole: dict[int, bool] = {}
         self.shown: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
+        self.held = 0
 
     def _bytes(self, token: str) -> bytes:
         return bytes(self.byte_of[c] for c in token)
@@ -146,31 +176,36 @@ class PrefixBpe:
         raise ValueError("the vocabulary lacks a byte")
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """The ids of distinct words, from one walk through their trie."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for byte in word:
-                node = node.setdefault(byte, {})
-            node[-1] = word
+        """The ids of distinct words, from one walk through their trie.
+
+        The walk meets the words in their order: each one goes on from the node that it shares with
+        the word before. A node without a branch has no object, it is a byte of a word and its last
+        token, so a run of any length takes a few bytes for each of its bytes.
+        """
+        order = sorted(words)
+        shared = [0, *(shared_start(a, b) for a, b in zip(order, order[1:], strict=False))]
         found: dict[bytes, tuple[int, ...]] = {}
-        last, step = [0], self.steps.get
-        todo = [(byte, child, 1, [(0, 0)]) for byte, child in root.items()]
-        while todo:
-            byte, node, depth, before = todo.pop()
-            del last[depth:]
-            open_ = [(start, to) for start, place in before if (to := step(256 * place + byte)) is not None]
-            last.append(self.last_token(open_, last))
-            open_.append((depth, 0))
-            for key, child in node.items():
-                if key != -1:
-                    todo.append((key, child, depth + 1, open_))
-                    continue
-                ids, at = [], depth
-                while at:
-                    ids.append(last[at])
-                    at -= len(self.bytes_of[last[at]])
-                found[child] = tuple(reversed(ids))
+        last, step = array("i", [0]), self.steps.get
+        nodes: list[tuple[int, list[tuple[int, int]]]] = [(0, [(0, 0)])]
+        for word, depth, branches in zip(order, shared, branch_depths(shared), strict=True):
+            while nodes[-1][0] > depth:
+                nodes.pop()
+            open_ = nodes[-1][1]
+            del last[depth + 1 :]
+            for until in (*branches, len(word)):
+                for at in range(depth, until):
+                    byte = word[at]
+                    open_ = [(start, to) for start, place in open_ if (to := step(256 * place + byte)) is not None]
+                    last.append(self.last_token(open_, last))
+                    open_.append((at + 1, 0))
+                if until in branches:
+                    nodes.append((until, open_))
+                depth = until
+            ids, at = [], len(word)
+            while at:
+                ids.append(last[at])
+                at -= len(self.bytes_of[last[at]])
+            found[word] = tuple(reversed(ids))
         return found
 
     def split(self, text: str) -> list[str]:
@@ -184,8 +219,8 @@ class PrefixBpe:
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that are not known yet."""
-        if len(self.shown) > KEPT:
-            self.shown, self.decoded = {}, {}
+        if len(self.shown) > KEPT or self.held > KEPT_BYTES:
+            self.shown, self.decoded, self.held = {}, {}, 0
         new = sorted(words - self.shown.keys())
         for at in range(0, len(new), TRIE_WORDS):
             block = new[at : at + TRIE_WORDS]
@@ -195,6 +230,7 @@ class PrefixBpe:
                 ids = (self.special[word],) if word in self.special else found[plain[word]]
                 self.shown[word] = ",".join(map(str, ids))
                 self.decoded[word] = b"".join([self.bytes_of[i] for i in ids])
+                self.held += len(self.shown[word]) + len(word)
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(text) for text in texts]
