@@ -8,6 +8,7 @@ finds the same leftmost matches in linear time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,8 @@ RULES = {
 }
 #: Code points before a span in which context words count, and the least score of a reported span.
 WINDOW, LEAST = 48, 0.5
+#: Lengths that are added up in a row before a total is kept.
+SUM_BLOCK = 128
 
 
 def digits(value: Column) -> Column:
@@ -99,16 +102,43 @@ def cuts(kind: str, text: Column) -> Column:
     return F.when(need, pair)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the functions inside refer to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_sums(values: Column) -> Column:
+    """The sums of an array that is not empty, up to each of its places.
+
+    A sum runs from the start of its block of ``SUM_BLOCK`` values, and blocks have the totals before
+    them: the work grows with the length of the array, not with its square.
+    """
+    zero = F.lit(0).cast("long")
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, zero, lambda done, x: done + x)
+
+    def before(values: Column) -> Column:
+        blocks = F.sequence(zero, F.floor((F.size(values) - 1) / SUM_BLOCK))
+        totals = F.transform(blocks, lambda b: total(F.slice(values, (b * SUM_BLOCK + 1).cast("int"), F.lit(SUM_BLOCK))))
+        return F.aggregate(totals, F.array(zero), lambda done, t: F.concat(done, F.array(F.element_at(done, -1) + t)))
+
+    def sums(values: Column, before: Column) -> Column:
+        def upto(_: Column, i: Column) -> Column:
+            part = F.slice(values, i - i % SUM_BLOCK + 1, i % SUM_BLOCK + 1)
+            return F.element_at(before, F.floor(i / SUM_BLOCK).cast("int") + 1) + total(part)
+
+        return F.transform(values, upto)
+
+    return bound(values, lambda v: bound(before(v), lambda b: sums(v, b)))
+
+
 def candidates(kind: str, cut: Column) -> Column:
     """The matches of a pattern in order: start, end, value and what stands before each."""
     pairs = F.arrays_zip(F.slice(cut["gaps"], 1, F.size(cut["hits"])).alias("gap"), cut["hits"].alias("hit"))
-    ends = F.aggregate(
-        pairs,
-        F.array(F.lit(0).cast("long")),
-        lambda done, p: F.concat(done, F.array(F.element_at(done, -1) + F.length(p["gap"]) + F.length(p["hit"]))),
-    )
+    ends = running_sums(F.transform(pairs, lambda p: (F.length(p["gap"]) + F.length(p["hit"])).cast("long")))
     return F.transform(
-        F.arrays_zip(pairs.alias("pair"), F.slice(ends, 2, F.size(cut["hits"])).alias("end")),
+        F.arrays_zip(pairs.alias("pair"), ends.alias("end")),
         lambda x: F.struct(
             (x["end"] - F.length(x["pair"]["hit"])).alias("start"),
             x["end"].alias("end"),

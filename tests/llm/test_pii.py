@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from perindex.llm import pii
 
@@ -67,3 +71,25 @@ def test_iban_context_and_redaction(spark):
     assert redacted[0]["text"] == "IBAN <iban>, not DE88370400440532013000. mail <email>"
     assert redacted[2]["text"] is None and redacted[0]["spans_of"] == "x"
     assert pii.report(docs.limit(0)).count() == 0
+
+
+def test_running_sums(spark):
+    rows = [(i, [random.Random(i).randint(0, 9) for _ in range(n)]) for i, n in enumerate((1, 2, 127, 128, 129, 256, 1000))]
+    df = spark.createDataFrame(rows, "n int, x array<long>").repartition(2)
+    for r in df.select("x", pii.running_sums(F.col("x")).alias("sums")).collect():
+        assert r["sums"] == list(itertools.accumulate(r["x"]))
+
+
+def test_very_many_hits_in_one_text(spark):
+    texts = [" ".join(f"u{i}@h{i}.org é" for i in range(n)) for n in (10_000, 60_000)]
+    seconds = []
+    for text in texts:
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        pii.report(docs).collect()
+        begin = time.perf_counter()
+        (row,) = pii.report(docs).collect()
+        seconds.append(time.perf_counter() - begin)
+        spans = brute(text)
+        assert row["n_email"] == len(spans) == text.count("@")
+        assert row["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans).encode()).hexdigest()
+    assert seconds[1] < 15 * seconds[0] + 5  # 36 times as long if it grew with the square
