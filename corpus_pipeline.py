@@ -46,7 +46,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Learned rules, hashes and tokens are beyond SQL; tests hold the rows against a brute-force run.
+#: Learned rules, hashes and tokens are beyond SQL; tests hold four of the stages against plain Python.
 ORACLE_SQL = None
 
 
