@@ -190,13 +190,14 @@ def sampled(labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, int]:
 def learn_from(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Rules from labelled rows: quality 0 is bad. Repeated labels of a document count once, the worst of them.
 
-    At most about ``sample`` rows come to the driver. Without labels of both kinds there are no rules.
+    Rows that repeat an id are one row with the least of each statistic, so at most about ``sample``
+    rows come to the driver, always the same ones. Without labels of both kinds there are no rules.
     """
     chosen, _ = sampled(labels, sample)
     rows = (
         stats.join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "quality", *(F.expr(c).alias(n) for n, c in RATIOS.items()))
-        .limit(2 * sample)
+        .groupBy("doc_id", "quality")
+        .agg(*(F.min(F.expr(c)).alias(n) for n, c in RATIOS.items()))
         .collect()
     )
     rows.sort(key=lambda r: tuple(r))
