@@ -116,8 +116,9 @@ def has_letter(text: str) -> bool:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """A model of a bounded sample of the labelled rows that are not held out; None if there are none.
 
-    The sample takes about ``TEXTS`` rows of each language by a hash of the id, and the texts
+    The sample takes about ``TEXTS`` rows of each language by a hash of id and text, and the texts
     become presence sets inside the tasks, so the driver gets eight bytes for each distinct sequence.
+    Equal sets of a language are one, so copies do not outgrow the sample; null ids are as good as others.
     """
     slim = docs.select(
         F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("body"), F.col(f"`{lang}`").cast("string").alias("lang")
@@ -127,7 +128,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         return None
     span, texts = 1 << 30, max(LEAST_TEXTS, min(TEXTS, TEXTS * CLASSES // len(sizes)))
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(span, int(span * texts / n) + 1))])
-    sample = slim.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(span)) < F.try_element_at(share, "lang"))
+    sample = slim.filter(F.pmod(F.xxhash64("id", "body", F.lit(7)), F.lit(span)) < F.try_element_at(share, "lang"))
 
     def make():
         def packed(langs: list[str], bodies: list[str]) -> dict[str, list]:
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
         return packed
 
-    rows = map_columns(sample, [F.col("lang"), F.col("body")], make, "lang string, grams binary").collect()
+    rows = map_columns(sample, [F.col("lang"), F.col("body")], make, "lang string, grams binary").distinct().collect()
     rows = sorted(((r["lang"], bytes(r["grams"])) for r in rows), key=lambda r: (zlib.crc32(r[1]), r))
     if not rows:
         return None
