@@ -26,12 +26,10 @@ from perindex.session import materialize
 
 #: Pieces in a block, on average.
 BLOCK_PIECES = 4096
-#: The levels go on while one lowers the number of loose bins by this share, or more.
+#: Defaults of ``pack``. The levels go on while one lowers the number of loose bins by this share, or more.
 SAVES = 1 / 1024
 #: A bin is loose if this share of it, or more, is empty.
 LOOSE = 1 / 16
-#: Pairs of bins that the local search looks at for each bin it tries to empty.
-PARTNERS = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -123,42 +121,51 @@ def exchange(giver: list[int], taker: list[int], room: int) -> tuple[int, list[i
 
 
 def empty_bins(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Local search between underfull bins until no bin can be emptied any more.
+    """Local search between underfull bins until no exchange between any two of them gains.
 
-    The emptiest bin gives to the others, fullest first; a step that carries a tokens from
-    a bin to a fuller one raises the sum of squared fill, so the search ends. It stops at once
-    when the bins are as few as the tokens need.
+    The emptiest bin gives first, to every bin at least as full, the one with most room first. A step
+    that carries tokens from a bin to a fuller one raises the sum of squared fill, so the search
+    ends. Rounds go on until one changes nothing, or the bins are as few as the tokens need. Two bins
+    that did not change since they were last compared are not compared again.
     """
     least = -(-sum(lengths) // capacity)
     fill = {k: sum(lengths[i] for i in b) for k, b in enumerate(bins)}
-    open_ = sorted((k for k in fill if fill[k] < capacity), key=lambda k: fill[k])
-    number, held = len(bins), {k: list(b) for k, b in enumerate(bins)}
-    for giver in open_:
-        if number <= least:
-            break
-        changed = True
-        while changed and held[giver]:
-            changed = False
-            takers = [k for k in open_ if k != giver and held[k] and fill[giver] <= fill[k] < capacity]
-            for taker in sorted(takers, key=lambda k: fill[k])[:PARTNERS]:
-                gain, given, taken = exchange(
-                    [lengths[i] for i in held[giver]], [lengths[i] for i in held[taker]], capacity - fill[taker]
-                )
-                if not gain:
-                    continue
-                out, back = [held[giver][i] for i in given], [held[taker][i] for i in taken]
-                held[giver] = [x for i, x in enumerate(held[giver]) if i not in given] + back
-                held[taker] = [x for i, x in enumerate(held[taker]) if i not in taken] + out
-                fill[giver] -= gain
-                fill[taker] += gain
-                changed = True
-                if not held[giver]:
-                    break
-        number -= not held[giver]
+    held = {k: list(b) for k, b in enumerate(bins)}
+    open_ = {k for k in fill if fill[k] < capacity}
+    number, step, gained = len(bins), 0, True
+    # The steps at which a bin last changed, and at which it last looked at all others.
+    changed, searched = dict.fromkeys(open_, 0), dict.fromkeys(open_, -1)
+    while gained:
+        gained = False
+        for giver in sorted(open_, key=lambda k: (fill[k], k)):
+            if number <= least:
+                break
+            while held[giver] and searched[giver] < step:
+                since = searched[giver] if searched[giver] >= changed[giver] else -1
+                searched[giver] = step
+                takers = [k for k in open_ if k != giver and fill[giver] <= fill[k] < capacity and changed[k] > since]
+                for taker in sorted(takers, key=lambda k: (fill[k], k)):
+                    gain, given, taken = exchange(
+                        [lengths[i] for i in held[giver]], [lengths[i] for i in held[taker]], capacity - fill[taker]
+                    )
+                    if not gain:
+                        continue
+                    out, back = [held[giver][i] for i in given], [held[taker][i] for i in taken]
+                    held[giver] = [x for i, x in enumerate(held[giver]) if i not in given] + back
+                    held[taker] = [x for i, x in enumerate(held[taker]) if i not in taken] + out
+                    fill[giver] -= gain
+                    fill[taker] += gain
+                    step += 1
+                    changed[giver] = changed[taker] = step
+                    gained = True
+                    if not held[giver]:
+                        number -= 1
+                        open_.discard(giver)
+                        break
     return [b for b in held.values() if b]
 
 
-def pack_block(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def pack_block(frame: pd.DataFrame, capacity: int, loose_share: float = LOOSE) -> pd.DataFrame:
     """Sequence number, offset and looseness for the pieces of one block."""
     frame = frame.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], kind="stable", ignore_index=True)
     lengths = frame["length"].tolist()
@@ -170,16 +177,18 @@ def pack_block(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
         for item in items:
             number[item], offset[item] = k, at
             at += lengths[item]
-        loose[items] = capacity - at >= capacity * LOOSE
+        loose[items] = capacity - at >= capacity * loose_share
     return frame.assign(sequence_id=number, offset=offset, loose=loose)
 
 
-def _pack_level(pieces: DataFrame, blocks: int, before: int, level: int, capacity: int) -> DataFrame:
+def _pack_level(
+    pieces: DataFrame, blocks: int, before: int, level: int, capacity: int, loose_share: float
+) -> DataFrame:
     names = [c for c in pieces.columns if c not in ("copy", "block")]
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         block = int(frame["block"].iloc[0])
-        packed = pack_block(frame, capacity)
+        packed = pack_block(frame, capacity, loose_share)
         # The blocks of all levels are numbered on, and a bin has bits of its own, so numbers never meet.
         packed["sequence_id"] += (before + block) << 24
         return packed[[*names, "copy", "sequence_id", "offset", "loose"]]
@@ -202,9 +211,14 @@ def _numbered(pieces: DataFrame, chunk: int = BLOCK_PIECES) -> DataFrame:
     return chunked.select(*names, F.explode(F.sequence(F.col("c") * chunk, last)).alias("copy"))
 
 
-def pack(pieces: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+def pack(
+    pieces: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES, loose_share: float = LOOSE, saves: float = SAVES
+) -> DataFrame:
     """Give every piece a sequence and its place there.
 
+    Bins with ``loose_share`` of their capacity empty, or more, are packed again together with those
+    of other blocks, as long as that lowers their number by the share ``saves``.
+
     ``pieces`` has the columns of ``token_pieces``. An empty table gives an empty result; repeated
     rows are packed each. A level that does not lower the number of bins counts for nothing: the
     bins of the level before stay.
@@ -213,7 +227,7 @@ def pack(pieces: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES) ->
     level, before, loose, open_, done = 0, 0, None, None, None
     while True:
         blocks = max(1, -(-count // block_pieces))
-        packed = materialize(_pack_level(pieces, blocks, before, level, capacity), f"packed{level}")
+        packed = materialize(_pack_level(pieces, blocks, before, level, capacity, loose_share), f"packed{level}")
         # A bin has one piece at offset 0.
         first = F.col("offset") == 0
         bins, loose_bins, count = packed.agg(
@@ -222,7 +236,7 @@ def pack(pieces: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES) ->
         if loose is not None and bins >= loose:
             return done.unionByName(open_).drop("loose", "copy")
         saved = bins if loose is None else loose - bins
-        if blocks == 1 or not count or saved < SAVES * bins:
+        if blocks == 1 or not count or saved < saves * bins:
             done = packed if done is None else done.unionByName(packed)
             return done.drop("loose", "copy")
         closed, open_, loose = packed.filter(~F.col("loose")), packed.filter("loose"), loose_bins
