@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perindex.session import materialize
+from perindex.session import materialize, materialize_counted
 
 SCORE, LABEL = "predict_prob", "true_label"
 # Distinct scores that one task may put in order.
@@ -46,8 +46,8 @@ def ranges(rows: DataFrame, by: tuple[str, ...] = (), rows_per_bucket: int = ROW
     The number of ranges follows the number of rows. The ranges are stored with the
     rows, so that every reader sees the same ones.
     """
-    stored = materialize(rows, "distinct_scores")
-    buckets = math.ceil(stored.count() / rows_per_bucket)
+    stored, count = materialize_counted(rows, "distinct_scores")
+    buckets = math.ceil(count / rows_per_bucket)
     if buckets < 2:
         return stored.withColumn("bucket", F.lit(0))
     dealt = stored.repartitionByRange(buckets, *by, F.desc(SCORE))

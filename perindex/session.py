@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app_name: str = "perindex", **conf: object) -> SparkSession:
@@ -47,3 +48,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``materialize``, and the number of rows, counted by the job that writes them."""
+    written = Observation()
+    stored = materialize(df.observe(written, F.count(F.lit(1)).alias("rows")), name)
+    return stored, written.get["rows"]
