@@ -356,20 +356,19 @@ def one_of_each(docs: DataFrame, distance: int = 4, width: int = 4, doc_id: str
         values = [shingle_fingerprint(t.encode().lower().split(), width) for t in texts]
         return pd.Series(values, dtype="uint64").astype("int64")
 
+    # The row number is stored, so it stays what it is; it tells repeated rows apart.
     marked = materialize(
-        docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), fingerprint(whole_text(text)).alias("hash")),
+        docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), fingerprint(whole_text(text)).alias("hash"))
+        .withColumn("row", F.monotonically_increasing_id()),
         "marked",
     )
-    key = F.col(f"doc.`{doc_id}`").cast("long")
-    hashed = marked.select(key.alias("doc_id"), "hash")
-    groups = group_labels(hashed, distance)
+    hashed = marked.select(F.col(f"doc.`{doc_id}`").cast("long").alias("doc_id"), "hash", "row")
+    groups = group_labels(hashed.select("doc_id", "hash"), distance)
     # Copies fold into one row for each fingerprint before anything is joined.
-    firsts = hashed.groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
-    chosen = F.min_by(F.struct("hash", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "hash"))
-    winners = firsts.join(groups, "hash").groupBy("label").agg(chosen.alias("w")).select(
-        F.col("w.hash").alias("w_hash"), F.col("w.doc_id").alias("w_id")
-    )
-    kept = marked.withColumn("id", key).join(
-        winners, (F.col("hash") == F.col("w_hash")) & F.col("id").eqNullSafe(F.col("w_id")), "left_semi"
-    )
-    return kept.dropDuplicates(["hash", "id"]).select("doc.*")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    firsts = hashed.groupBy("hash").agg(F.min_by(F.struct("doc_id", "row"), order).alias("f")).select("hash", "f.*")
+    chosen = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "hash"))
+    winners = materialize(firsts.join(groups, "hash").groupBy("label").agg(chosen.alias("row")).select("row"), "winners")
+    # One number for each kept document, in files of known size: few are broadcast, and documents stay where
+    # they are; many are joined by the row, which spreads copies as well as any others.
+    return marked.join(winners, "row", "left_semi").select("doc.*")
