@@ -369,6 +369,5 @@ def one_of_each(docs: DataFrame, distance: int = 4, width: int = 4, doc_id: str
     firsts = hashed.groupBy("hash").agg(F.min_by(F.struct("doc_id", "row"), order).alias("f")).select("hash", "f.*")
     chosen = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "hash"))
     winners = materialize(firsts.join(groups, "hash").groupBy("label").agg(chosen.alias("row")).select("row"), "winners")
-    # One number for each kept document, in files of known size: few are broadcast, and documents stay where
-    # they are; many are joined by the row, which spreads copies as well as any others.
-    return marked.join(winners, "row", "left_semi").select("doc.*")
+    # Joined by the row, at every size: documents move once, and copies spread as well as any others.
+    return marked.join(winners.hint("merge"), "row", "left_semi").select("doc.*")

@@ -1,4 +1,4 @@
-"""One document of each near-duplicate group: repeats, nulls, ties, and no shuffle of documents for few winners."""
+"""One document of each near-duplicate group: repeats, nulls, ties, and documents that move once."""
 
 import pytest
 
@@ -42,7 +42,8 @@ def test_an_empty_table_stays_empty(docs):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
-def test_documents_are_not_shuffled_for_few_winners(docs):
+def test_documents_move_once_and_by_their_row(docs):
     plan = simhash.one_of_each(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
-    assert "hashpartitioning" not in plan and "SortAggregate" not in plan
+    assert "SortMergeJoin [row" in plan
+    assert plan.count("Exchange hashpartitioning(row") == plan.count("Exchange ") == 2  # documents and winners
+    assert "Aggregate" not in plan
