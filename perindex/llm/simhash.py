@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perindex.llm.text_batches import map_columns, whole_text
-from perindex.session import materialize
+from perindex.session import materialize, materialize_counted
 
 BITS = 64
 #: Children of a node of the tree, and fingerprints that are searched for at once.
@@ -32,6 +32,8 @@ FAN_OUT, QUERIES = 16, 512
 GROUP = 4096
 #: Members that the groups of one table have in all, on average.
 BUCKET_ROWS = 16_384
+#: Rows for which one part more is made of a key that may own them all.
+SALT_ROWS = 4096
 ALL = (1 << BITS) - 1
 
 
@@ -288,21 +290,37 @@ def links(nodes: DataFrame, distance: int = 4, group: int = GROUP) -> DataFrame:
     return _block_links(again.join(sizes.filter(F.col("size") > group), key), key, found, distance, group, n_large)
 
 
+def with_least(rows: DataFrame, key: str, value: str, spread: str, salts: int, name: str) -> DataFrame:
+    """``rows`` with the smallest ``value`` of their ``key`` as ``name``.
+
+    The rows of a key are dealt into ``salts`` parts by a hash of ``spread``. Each part sends its
+    minimum to the key and gets the key's back, so a key that owns most rows is no task's alone.
+    """
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    parts = dealt.groupBy(key, "salt").agg(F.min(value).alias(name))
+    whole = parts.groupBy(key).agg(F.min(name).alias(name))
+    return dealt.join(parts.drop(name).join(whole, key), [key, "salt"]).drop("salt")
+
+
+def _salts(rows: int) -> int:
+    return max(1, -(-rows // SALT_ROWS))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(hash, label)`` of every linked node; the label is the smallest node it reaches.
 
     Each round hangs the larger neighbours of a node on its smallest one, then the smaller
-    ones, and ends when a round changes nothing. The links are stored after each round.
+    ones, and ends when a round changes nothing. The links are stored after each round. A node
+    that most links hang on is dealt into parts in every join.
     """
     least, most = F.least("a", "b"), F.greatest("a", "b")
     edges = materialize(edges.filter("a <> b").select(most.alias("a"), least.alias("b")).distinct(), "links")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.filter("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.filter("a <> b").distinct(), "links")
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smallest, "a").select(
+        salts = _salts(edges.count())
+        large = with_least(both, "a", "b", "b", salts, "m").withColumn("m", F.least("a", "m")).filter("b > a")
+        large = materialize(large.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        small = with_least(large, "a", "b", "b", salts, "m").select(
             F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
         )
         after = materialize(small.filter("a <> b").distinct(), "links")
@@ -322,12 +340,13 @@ def hex_of(value: str = "hash") -> Column:
 
 def group_labels(hashed: DataFrame, distance: int = 4) -> DataFrame:
     """``(hash, label, component_id)`` of each fingerprint of ``(doc_id, hash)`` rows."""
-    nodes = materialize(hashed.groupBy("hash").agg(F.min("doc_id").alias("first_id")), "nodes")
+    nodes = hashed.groupBy("hash").agg(F.min("doc_id").alias("first_id"))
+    nodes, n_nodes = materialize_counted(nodes, "nodes")
     labels = components(links(nodes.select("hash"), distance))
     labelled = nodes.join(labels, "hash", "left").withColumn("label", F.coalesce("label", "hash"))
     labelled = materialize(labelled, "labelled")
-    firsts = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    return materialize(labelled.join(firsts, "label").select("hash", "label", "component_id"), "groups")
+    groups = with_least(labelled, "label", "first_id", "hash", _salts(n_nodes), "component_id")
+    return materialize(groups.select("hash", "label", "component_id"), "groups")
 
 
 def near_duplicates(

@@ -47,3 +47,18 @@ def test_documents_move_once_and_by_their_row(docs):
     assert "SortMergeJoin [row" in plan
     assert plan.count("Exchange hashpartitioning(row") == plan.count("Exchange ") == 2  # documents and winners
     assert "Aggregate" not in plan
+
+
+def test_a_key_dealt_into_parts_keeps_its_minimum(spark, monkeypatch):
+    rows = [(7, i, None if i % 2 else i) for i in range(40)] + [(8, 1, 5), (9, 2, None)]
+    df = spark.createDataFrame(rows, "label long, hash long, first_id long")
+    got = simhash.with_least(df, "label", "first_id", "hash", 6, "least")
+    assert set(got.columns) == {*df.columns, "least"}
+    found = {(r["label"], r["hash"]): r["least"] for r in got.collect()}
+    assert len(found) == len(rows) and found == {(a, b): {7: 0, 8: 5, 9: None}[a] for a, b, _ in rows}
+    # One long chain and one star, with parts of three rows.
+    monkeypatch.setattr(simhash, "SALT_ROWS", 3)
+    edges = [(i, i + 1) for i in range(50)] + [(1000, i) for i in range(1001, 1080)]
+    labels = {r["hash"]: r["label"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    # The smallest node of a component is its label and has no row.
+    assert labels == {**{i: 0 for i in range(1, 51)}, **{i: 1000 for i in range(1001, 1080)}}
