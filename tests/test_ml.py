@@ -5,6 +5,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from perindex import registry as R
+from perindex.metrics.threshold import metric_set
 from perindex.ml import model as M
 from perindex.ml.explain import top_factors
 from perindex.ml.split import assign_split, random_split
@@ -68,6 +69,15 @@ def test_unlabelled_rows_are_not_trained_on(people):
     }
 
 
+def test_a_fitted_model_scores_after_metrics_and_measures_its_own_scores(people):
+    ranked = people.selectExpr("'a' as dataset", "person_id / 600 as predict_prob", f"{R.LABEL} as true_label")
+    assert metric_set(ranked).first().n == 600
+    model = M.fit(people, LogisticRegression(weightCol="class_weight", maxIter=5), COLUMNS)
+    assert len(M.score(model, people).collect()) == 600
+    measured = metric_set(M.score_datasets(model, {"a": people, "b": people.where("person_id < 100")})).collect()
+    assert {r.dataset: r.n for r in measured} == {"a": 600, "b": 100}
+
+
 def test_compare_and_grid(spark, people):
     train, test = random_split(people, 0.25)
     names = M.candidates(len(COLUMNS), rounds=2)
