@@ -4,10 +4,11 @@ from types import SimpleNamespace
 
 import pytest
 from conftest import day
+from pyspark.sql import functions as F
 
 from perindex.plans.jobs import load_inputs
 from perindex.session import checkpoint_dir, materialize
-from perindex.sources import readers, schemas, versions, writers
+from perindex.sources import readers, schemas, star_views, versions, writers
 
 
 def test_csv_columns_are_found_by_name(spark, tmp_path):
@@ -147,3 +148,14 @@ def test_the_named_checkpoint_folder_wins():
     assert checkpoint_dir(session_like(None, "yarn", "hdfs://set/cp")) == "hdfs://set/cp"
     with pytest.raises(ValueError):
         checkpoint_dir(session_like(None, "yarn"))
+
+
+def test_a_task_joins_a_bounded_number_of_lines(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    plain = star_views.ClinicalViews(spark, folder).condition_occurrence
+    monkeypatch.setattr(star_views, "is_small", lambda df: False)
+    monkeypatch.setattr(star_views, "LINES_PER_TASK", 300)
+    parted = star_views.ClinicalViews(spark, folder).condition_occurrence
+    sizes = parted.groupBy(F.spark_partition_id()).count().select(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 300 and sizes[1] >= 15
+    assert sorted(parted.collect()) == sorted(plain.collect())
