@@ -6,7 +6,9 @@ import pytest
 from conftest import by_key, day
 
 from perindex import registry as R
+from perindex.operators.concepts import concept_lookup
 from perindex.operators.index_range import index_range
+from perindex.operators.lookup import lookup_join
 from perindex.plans import diagnoses, jobs, labs, medications, procedures, smoking, vitals
 from perindex.plans import feature_table as ft
 from perindex.plans import utilization as ut
@@ -197,3 +199,25 @@ def test_icu_evidence_without_a_person_still_marks_its_visit(table):
     # A code of both kinds feeds the feature as well: two events of one day, and one without a person.
     features = {(r.person_id, r.n) for r in rows if r.feature != ft.ICU}
     assert features == {(1, 2), (None, 1)}
+
+
+def test_events_without_a_code_are_not_shuffled_by_the_joins_below(spark, views):
+    lookup = concept_lookup(views.concept_sets, DEMO.procedures)
+    for events, code in (
+        (views.procedure_occurrence, "procedure_concept_id"), (views.drug_exposure, "drug_concept_id"),
+        (views.named_measurement.where("value_as_number is not null"), "measurement_concept_id"),
+    ):
+        plan = lookup_join(events, lookup, code, "concept_id", small=True)._jdf.queryExecution().optimizedPlan()
+        depth = {kind: [line.index("Join") for line in plan.toString().split("\n") if kind in line]
+                 for kind in ("Join LeftSemi", "Join Inner, (l_orderkey")}
+        assert min(depth["Join LeftSemi"]) > max(depth["Join Inner, (l_orderkey"])
+
+
+def test_the_pivot_moves_day_rows_by_person_and_nothing_else(spark, views, tmp_path):
+    index_range(views.cohort, views.visits).write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    days = ft.tagged_days(views.tables(), DEMO)
+    days.write.parquet(f"{tmp_path}/days")
+    wide = ft._pivot(spark.read.parquet(f"{tmp_path}/days"), index, DEMO)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
