@@ -221,3 +221,15 @@ def test_the_pivot_moves_day_rows_by_person_and_nothing_else(spark, views, tmp_p
     wide = ft._pivot(spark.read.parquet(f"{tmp_path}/days"), index, DEMO)
     plan = wide._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_parts_by_person_follow_the_counted_persons(spark, views, monkeypatch):
+    expected = sorted(ft.feature_table(views.tables(), DEMO).collect())
+    index = materialize(index_range(views.cohort, views.visits), "index_range")
+    assert ft.person_parts(index) is None
+    monkeypatch.setattr(ft, "PERSONS_PER_TASK", 10)
+    assert ft.person_parts(index) == math.ceil(index.count() / 10) > 10
+    parted = ft.feature_table(views.tables(), DEMO, index)
+    assert sorted(parted.collect()) == expected
+    plan = parted._jdf.queryExecution().executedPlan().toString()
+    assert f"{ft.person_parts(index)}), REPARTITION_BY_NUM" in plan
