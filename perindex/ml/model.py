@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -16,7 +17,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perindex import registry as R
@@ -37,6 +38,8 @@ SEARCH_ROUNDS = 20
 # The search: depth and learning rate around the settings above.
 GRID = {"maxDepth": [4, 8], "stepSize": [0.05, 0.1]}
 FOLDS = 3
+# Rows of one stored part of the training vectors: some 100 MB of binned features.
+ROWS_PER_TASK = 100_000
 
 
 def assembler(columns: list[str] | None = None) -> VectorAssembler:
@@ -73,15 +76,34 @@ def boosted_trees(rounds: int = ROUNDS, seed: int = SEED) -> GBTClassifier:
     )
 
 
+def training_vectors(df: DataFrame, columns: list[str] | None = None, *extra: Column) -> DataFrame:
+    """The labelled rows as vectors, assembled once and stored, dealt evenly over the cores.
+
+    A fit goes through its rows many times, and every pass would assemble them anew.
+    Stored feature tables shrink so far that parts cut by their bytes differ in rows,
+    and the largest holds up every pass; so the rows are counted and dealt by person,
+    into a multiple of the cores: read back, each core gets as many parts, small ones together.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rows = training_rows(df)
+    parts = cores * max(1, math.ceil(rows.count() / (cores * ROWS_PER_TASK)))
+    vectors = assembler(columns).transform(rows).select("person_id", "label", "class_weight", "features", *extra)
+    return materialize(vectors.repartition(parts, "person_id"), "training_vectors")
+
+
 def fit(df: DataFrame, estimator=None, columns: list[str] | None = None) -> PipelineModel:
-    """Fit the assembler and a classifier on the labelled rows of ``df``.
+    """The assembler and a classifier that is fitted on the labelled rows of ``df``."""
+    return PipelineModel([assembler(columns), fit_vectors(training_vectors(df, columns), estimator)])
+
+
+def fit_vectors(vectors: DataFrame, estimator=None):
+    """Fit a classifier on the rows of ``training_vectors``.
 
     Boosting checkpoints its running predictions every few rounds, given a folder:
     a lost executor then costs some rounds, not all of them.
     """
-    checkpoint_dir(df.sparkSession)
-    stages = [assembler(columns), estimator or boosted_trees()]
-    return Pipeline(stages=stages).fit(training_rows(df))
+    checkpoint_dir(vectors.sparkSession)
+    return (estimator or boosted_trees()).fit(vectors)
 
 
 def score(model, df: DataFrame) -> DataFrame:
@@ -140,11 +162,16 @@ def compare(
     columns: list[str] | None = None,
     threshold: float = 0.5,
 ) -> DataFrame:
-    """One metric row per classifier on the test rows."""
+    """One metric row per classifier on the test rows.
+
+    Both tables are assembled once and stored; every classifier reads their vectors.
+    """
     columns = columns or R.FEATURE_COLUMNS
     estimators = estimators or candidates(len(columns))
+    trained = training_vectors(train, columns)
+    tested = materialize(vectorize(test, columns).select("person_id", R.LABEL, "features"), "test_vectors")
     scored = [
-        score(fit(train, estimator, columns), test).withColumn("model", F.lit(name))
+        score(fit_vectors(trained, estimator), tested).withColumn("model", F.lit(name))
         for name, estimator in estimators.items()
     ]
     stored = materialize(reduce(DataFrame.unionByName, scored), "model_scores")
@@ -153,9 +180,8 @@ def compare(
 
 def folds_of(df: DataFrame, columns: list[str] | None, folds: int, seed: int) -> DataFrame:
     """Labelled rows as vectors with a fold number that depends on the person alone, stored."""
-    rows = assembler(columns).transform(training_rows(df))
     fold = F.floor(uniform("person_id", seed) * folds).cast("int").alias("fold")
-    return materialize(rows.select("label", "class_weight", "features", fold), "folds")
+    return training_vectors(df, columns, fold)
 
 
 def grid_search(

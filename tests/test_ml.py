@@ -105,6 +105,25 @@ def test_the_search_assembles_once_and_shares_its_folds(people, monkeypatch):
     assert len(assembled) == 3  # the two above, and once for all combinations and folds
 
 
+def test_the_comparison_assembles_each_table_once(people, monkeypatch):
+    assembled, transform = [], M.VectorAssembler.transform
+    monkeypatch.setattr(M.VectorAssembler, "transform", lambda self, *a: assembled.append(1) or transform(self, *a))
+    names = {f"weight {w}": LogisticRegression(maxIter=2, regParam=w) for w in (0.0, 0.1, 0.2)}
+    rows = M.compare(people, people.where("person_id < 100"), names, COLUMNS).collect()
+    assert {r.model: r.n for r in rows} == dict.fromkeys(names, 100)
+    assert len(assembled) == 2  # training and test rows, whatever the number of classifiers
+
+
+def test_a_fit_deals_its_rows_evenly_over_the_cores(spark, people, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    crowded = people.where("person_id < 590").coalesce(1).unionByName(people.where("person_id >= 590"))
+    for rows_per_task in (M.ROWS_PER_TASK, 40):
+        monkeypatch.setattr(M, "ROWS_PER_TASK", rows_per_task)
+        vectors = M.training_vectors(crowded, COLUMNS)
+        sizes = [r["count"] for r in vectors.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 600 and len(sizes) >= cores and max(sizes) < 2 * 600 / cores
+
+
 def test_top_factors(people):
     weights = {"age": 0.1, "copd": 2.0, "obesity": -1.0}
     means = {n: people.agg(F.avg(n)).first()[0] for n in weights}
