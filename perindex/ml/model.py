@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -40,6 +43,9 @@ GRID = {"maxDepth": [4, 8], "stepSize": [0.05, 0.1]}
 FOLDS = 3
 # Rows of one stored part of the training vectors: some 100 MB of binned features.
 ROWS_PER_TASK = 100_000
+# Bytes of vectors, for each core, that the fits of a search may keep at one time. Trees keep them
+# binned, in half of that, which leaves an executor of 2.5 GB a core the rest of its memory.
+KEPT_PER_CORE = 1_000_000_000
 
 
 def assembler(columns: list[str] | None = None) -> VectorAssembler:
@@ -184,6 +190,51 @@ def folds_of(df: DataFrame, columns: list[str] | None, folds: int, seed: int) ->
     return training_vectors(df, columns, fold)
 
 
+class StoredFoldsValidator(CrossValidator):
+    """Cross validation on rows that are stored with their folds: each fit reads its own from there.
+
+    ``CrossValidator`` caches the vectors of a fold beside what its fits cache of them.
+    Rows beyond the memory then push each other out, and every pass of every fit reads
+    from disk again. Nothing is cached here but by the fits, and the fits of all folds
+    take turns, so cores do not wait for the last fit of a fold. Sub-models are not kept.
+    """
+
+    def _fit(self, dataset: DataFrame) -> CrossValidatorModel:
+        estimator, evaluator = self.getEstimator(), self.getEvaluator()
+        grid, fold, folds = self.getEstimatorParamMaps(), F.col(self.getFoldCol()), range(self.getNumFolds())
+        filled = {r[0] for r in dataset.select(fold).distinct().collect()}
+        for k in folds:
+            if not filled - {k}:
+                raise ValueError(f"The training data at fold {k} is empty.")
+            if k not in filled:
+                raise ValueError(f"The validation data at fold {k} is empty.")
+
+        def measure(k: int, params) -> float:
+            model = estimator.fit(dataset.where(fold != k), params)
+            return evaluator.evaluate(model.transform(dataset.where(fold == k), params))
+
+        # Each call gets its own copy of the thread's properties.
+        calls = [
+            inheritable_thread_target(dataset.sparkSession)(partial(measure, k, params))
+            for k in folds
+            for params in grid
+        ]
+        with ThreadPool(min(self.getParallelism(), len(calls))) as pool:
+            found = list(pool.imap(lambda call: call(), calls))
+        metrics = np.array(found).reshape(len(folds), len(grid))
+        means = metrics.mean(axis=0)
+        best = np.argmax(means) if evaluator.isLargerBetter() else np.argmin(means)
+        model = estimator.fit(dataset, grid[best])
+        return self._copyValues(CrossValidatorModel(model, list(means), None, list(metrics.std(axis=0))))
+
+
+def fits_at_once(vectors: DataFrame, features: int, folds: int, most: int) -> int:
+    """How many fits, ``most`` at the most, can keep their share of the rows in memory together."""
+    kept = vectors.count() * (folds - 1) / folds * features * 8
+    room = KEPT_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(most, int(room / max(1, kept))))
+
+
 def grid_search(
     df: DataFrame,
     estimator=None,
@@ -196,23 +247,26 @@ def grid_search(
     """Cross-validated search over the parameters of one classifier, by AUROC.
 
     The vectors are assembled once and stored with their folds; every combination
-    reads them from there, and all see the same folds. The best model takes
-    vectors, ``best_pipeline`` puts the assembler before it.
+    reads them from there, and all see the same folds. ``parallelism`` fits run at
+    one time, fewer where their rows would not stay in memory together. The best
+    model takes vectors, ``best_pipeline`` puts the assembler before it.
     """
     checkpoint_dir(df.sparkSession)
     estimator = estimator or boosted_trees(SEARCH_ROUNDS, seed)
     builder = ParamGridBuilder()
     for name, values in (grid or GRID).items():
         builder = builder.addGrid(estimator.getParam(name), values)
-    search = CrossValidator(
+    vectors, combinations = folds_of(df, columns, folds, seed), builder.build()
+    most = min(parallelism, len(combinations))
+    search = StoredFoldsValidator(
         estimator=estimator,
-        estimatorParamMaps=builder.build(),
+        estimatorParamMaps=combinations,
         evaluator=BinaryClassificationEvaluator(labelCol="label"),
         numFolds=folds,
         foldCol="fold",
-        parallelism=parallelism,
+        parallelism=fits_at_once(vectors, len(columns or R.FEATURE_COLUMNS), folds, most),
     )
-    return search.fit(folds_of(df, columns, folds, seed))
+    return search.fit(vectors)
 
 
 def best_pipeline(search: CrossValidatorModel, columns: list[str] | None = None) -> PipelineModel:

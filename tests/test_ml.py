@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import threading
+
 import pytest
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from perindex import registry as R
@@ -105,6 +109,53 @@ def test_the_search_assembles_once_and_shares_its_folds(people, monkeypatch):
     assert len(assembled) == 3  # the two above, and once for all combinations and folds
 
 
+def test_the_search_caches_no_fold_and_finds_what_cross_validation_finds(people, monkeypatch):
+    cached, persist = [], type(people).persist
+    monkeypatch.setattr(type(people), "persist", lambda self, *a: cached.append(1) or persist(self, *a))
+    noisy = F.expr("if(pmod(hash(person_id), 50) + age + 10 * obesity > 75, 1, 0)")
+    people = people.withColumn(R.LABEL, noisy)
+    estimator, grid = LogisticRegression(maxIter=10, elasticNetParam=1.0), {"regParam": [0.0, 0.1, 3.0]}
+    found = M.grid_search(people, estimator, grid, COLUMNS, folds=3)
+    assert not cached
+    search = CrossValidator(
+        estimator=estimator, estimatorParamMaps=found.getEstimatorParamMaps(), numFolds=3, foldCol="fold",
+        evaluator=BinaryClassificationEvaluator(labelCol="label"),
+    )
+    plain = search.fit(M.folds_of(people, COLUMNS, 3, M.SEED))
+    assert len(cached) == 6 and len(set(plain.avgMetrics)) > 1
+    assert found.avgMetrics == pytest.approx(plain.avgMetrics) and found.stdMetrics == pytest.approx(plain.stdMetrics)
+    assert list(found.bestModel.coefficients) == pytest.approx(list(plain.bestModel.coefficients))
+
+
+def test_fits_of_a_search_run_together_as_far_as_their_rows_fit_in_memory(spark, people, monkeypatch):
+    running, most, lock, fit = [], [], threading.Lock(), LogisticRegression.fit
+
+    def counted(self, *a):
+        with lock:
+            running.append(1)
+            most.append(len(running))
+        try:
+            return fit(self, *a)
+        finally:
+            running.pop()
+
+    monkeypatch.setattr(LogisticRegression, "fit", counted)
+    # 400 rows of three doubles are 9,600 bytes for a fit.
+    for room, at_once in ((1, 1), (20_000, 2), (M.KEPT_PER_CORE, 3)):
+        monkeypatch.setattr(M, "KEPT_PER_CORE", room / spark.sparkContext.defaultParallelism)
+        assert M.fits_at_once(people, len(COLUMNS), 3, 3) == at_once
+        most.clear()
+        M.grid_search(people, LogisticRegression(maxIter=2), {"regParam": [0.0, 0.1, 0.2]}, COLUMNS, folds=3)
+        assert len(most) == 10 and max(most) <= at_once  # nine fits of folds, and the best one
+
+
+def test_an_empty_fold_is_an_error(people):
+    first = M.uniform("person_id", M.SEED) * 3 < 1
+    for rows, said in ((people.where(first), "training"), (people.where(~first), "validation")):
+        with pytest.raises(ValueError, match=f"The {said} data at fold 0 is empty."):
+            M.grid_search(rows, LogisticRegression(maxIter=2), {"regParam": [0.0]}, COLUMNS, folds=3)
+
+
 def test_the_comparison_assembles_each_table_once(people, monkeypatch):
     assembled, transform = [], M.VectorAssembler.transform
     monkeypatch.setattr(M.VectorAssembler, "transform", lambda self, *a: assembled.append(1) or transform(self, *a))
